@@ -5,20 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op3_simhash_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parchmint.llm.simhash import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_cost_balanced_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    from parchmint.llm.packing import pack
+
+    pieces = pack(_table(spark, sf_dir, "documents"), tokenizer_path or _tokenizer("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash_trie_join,)}
+    return {f.__name__: f for f in (op3_simhash_trie_join, op6_cost_balanced_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
