@@ -31,9 +31,20 @@ def op6_cost_balanced_packing(spark: SparkSession, sf_dir: str, tokenizer_path:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parchmint.llm.linededup import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash_trie_join, op6_cost_balanced_packing)}
+    return {f.__name__: f for f in (op3_simhash_trie_join, op6_cost_balanced_packing, op10_line_windows)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from parchmint.llm.linededup import LINE_DEDUP_SQL
+
+    return {
+        "op10_line_windows": LINE_DEDUP_SQL.format(documents="documents")
+        + "SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE c.text END AS text, coalesce(c.n_lines, 0) AS n_lines, coalesce(c.n_removed, 0) AS n_removed FROM documents d LEFT JOIN counted c USING (doc_id)",
+    }
