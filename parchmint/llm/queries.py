@@ -24,6 +24,12 @@ def op3_simhash_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_benchmark_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parchmint.llm.decontam import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_cost_balanced_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     from parchmint.llm.packing import pack
 
@@ -38,7 +44,7 @@ def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash_trie_join, op6_cost_balanced_packing, op10_line_windows)}
+    return {f.__name__: f for f in (op3_simhash_trie_join, op4_benchmark_wand, op6_cost_balanced_packing, op10_line_windows)}
 
 
 def oracle_sql() -> dict[str, str]:
