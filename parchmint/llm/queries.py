@@ -37,6 +37,13 @@ def op6_cost_balanced_packing(spark: SparkSession, sf_dir: str, tokenizer_path:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parchmint.llm.cotrain import score, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return score(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parchmint.llm.linededup import dedup_lines
 
@@ -44,7 +51,7 @@ def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash_trie_join, op4_benchmark_wand, op6_cost_balanced_packing, op10_line_windows)}
+    return {f.__name__: f for f in (op3_simhash_trie_join, op4_benchmark_wand, op6_cost_balanced_packing, op9_cotraining_quality, op10_line_windows)}
 
 
 def oracle_sql() -> dict[str, str]:
