@@ -12,7 +12,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -30,10 +30,10 @@ def op4_benchmark_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-def op6_cost_balanced_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+def op6_cost_balanced_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     from parchmint.llm.packing import pack
 
-    pieces = pack(_table(spark, sf_dir, "documents"), tokenizer_path or _tokenizer("word_bpe_49k.json"))
+    pieces = pack(_table(spark, sf_dir, "documents"), tokenizer or tokenizer_path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

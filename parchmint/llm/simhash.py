@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchmint.llm.common import connected_components, cut_lineage, dealt_anew, small_batches
@@ -50,14 +50,15 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["doc_id", "fp"])
+        values = np.array([fingerprint(t.as_py()) for t in batch.column(2)], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values)], ["doc_id", "version", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row as a signed long."""
+    """(doc_id, version, fp): the fingerprint of every row as a signed long, and a hash of its text."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("version"), text.alias("text")).mapInArrow(_fingerprints, "doc_id long, version long, fp long")
 
 
 def hex16(fp: Column) -> Column:
@@ -234,6 +235,10 @@ def near_duplicates(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     returned; rows with a null doc_id take part, but give no component_id of
     their own. Other columns are ignored. No rows in, none out.
     """
+    return _classes(docs, split).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id", "n_links")
+
+
+def _classes(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     fps = cut_lineage(fingerprints(docs))
     classes = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     links = cut_lineage(link_distinct(classes.select("fp"), split))
@@ -243,5 +248,24 @@ def near_duplicates(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     named = classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = cut_lineage(named)
     first = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(dealt_anew(first, "component_id", "component"), "component").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return fps.join(dealt_anew(named, "component_id", "fp"), "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id", "n_links")
+    named = named.join(dealt_anew(first, "component_id", "component"), "component").join(degree, "fp", "left").select("fp", "component", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return fps.join(dealt_anew(named, "component_id", "fp"), "fp")
+
+
+def keep_one(docs: DataFrame, split: int = SPLIT) -> DataFrame:
+    """One row, all columns, of each group of near-duplicates: that of the smallest doc_id.
+
+    Where rows share that doc_id, the one whose text has the smallest hash stays,
+    and one of those that repeat it. A group without any doc_id keeps one row.
+    """
+    own = _classes(docs, split).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = own.groupBy("component").agg(F.min("component_id").alias("_id"), F.min("version").alias("_version"))
+    first = first.select(_id(F.col("_id")).alias("_id"), "_version")
+    keyed = docs.withColumns({"_id": _id(F.col("doc_id").cast("long")), "_version": F.xxhash64(F.col("text").cast("string"))})
+    kept = keyed.join(dealt_anew(first, "_version"), ["_id", "_version"])
+    nth = F.row_number().over(Window.partitionBy("_id", "_version").orderBy("_id", "_version"))
+    return kept.withColumn("_nth", nth).where("_nth = 1").select(docs.columns)
+
+
+def _id(c: Column) -> Column:
+    return F.coalesce(c, F.lit(-(1 << 63)))
