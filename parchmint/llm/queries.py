@@ -18,6 +18,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_viterbi_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parchmint.llm.toxicity import score, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return score(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op3_simhash_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parchmint.llm.simhash import near_duplicates
 
@@ -51,7 +58,7 @@ def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash_trie_join, op4_benchmark_wand, op6_cost_balanced_packing, op9_cotraining_quality, op10_line_windows)}
+    return {f.__name__: f for f in (op1_viterbi_toxicity, op3_simhash_trie_join, op4_benchmark_wand, op6_cost_balanced_packing, op9_cotraining_quality, op10_line_windows)}
 
 
 def oracle_sql() -> dict[str, str]:
