@@ -44,6 +44,14 @@ def op6_cost_balanced_packing(spark: SparkSession, sf_dir: str, tokenizer: str |
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_typed_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parchmint.llm.chat import digests, format_conversations, parts_of_text
+
+    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    tricky = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"))
+    return digests(format_conversations(turns.unionByName(tricky).withColumn("parts", parts_of_text(F.col("text")))))
+
+
 def op9_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parchmint.llm.cotrain import score, train
 
@@ -58,13 +66,15 @@ def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_viterbi_toxicity, op3_simhash_trie_join, op4_benchmark_wand, op6_cost_balanced_packing, op9_cotraining_quality, op10_line_windows)}
+    return {f.__name__: f for f in (op1_viterbi_toxicity, op3_simhash_trie_join, op4_benchmark_wand, op6_cost_balanced_packing, op7_typed_chat_parts, op9_cotraining_quality, op10_line_windows)}
 
 
 def oracle_sql() -> dict[str, str]:
+    from parchmint.llm.chat import CHAT_SQL
     from parchmint.llm.linededup import LINE_DEDUP_SQL
 
     return {
+        "op7_typed_chat_parts": CHAT_SQL,
         "op10_line_windows": LINE_DEDUP_SQL.format(documents="documents")
         + "SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE c.text END AS text, coalesce(c.n_lines, 0) AS n_lines, coalesce(c.n_removed, 0) AS n_removed FROM documents d LEFT JOIN counted c USING (doc_id)",
     }
