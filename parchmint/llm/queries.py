@@ -25,6 +25,12 @@ def op1_viterbi_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op2_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parchmint.llm.urllists import dated, filter_captures
+
+    return filter_captures(*dated(_table(spark, sf_dir, "pages")))
+
+
 def op3_simhash_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parchmint.llm.simhash import near_duplicates
 
@@ -66,14 +72,16 @@ def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_viterbi_toxicity, op3_simhash_trie_join, op4_benchmark_wand, op6_cost_balanced_packing, op7_typed_chat_parts, op9_cotraining_quality, op10_line_windows)}
+    return {f.__name__: f for f in (op1_viterbi_toxicity, op2_temporal_url_lists, op3_simhash_trie_join, op4_benchmark_wand, op6_cost_balanced_packing, op7_typed_chat_parts, op9_cotraining_quality, op10_line_windows)}
 
 
 def oracle_sql() -> dict[str, str]:
     from parchmint.llm.chat import CHAT_SQL
     from parchmint.llm.linededup import LINE_DEDUP_SQL
+    from parchmint.llm.urllists import URL_LISTS_SQL
 
     return {
+        "op2_temporal_url_lists": URL_LISTS_SQL,
         "op7_typed_chat_parts": CHAT_SQL,
         "op10_line_windows": LINE_DEDUP_SQL.format(documents="documents")
         + "SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE c.text END AS text, coalesce(c.n_lines, 0) AS n_lines, coalesce(c.n_removed, 0) AS n_removed FROM documents d LEFT JOIN counted c USING (doc_id)",
