@@ -58,6 +58,12 @@ def op7_typed_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_conversations(turns.unionByName(tricky).withColumn("parts", parts_of_text(F.col("text")))))
 
 
+def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parchmint.llm.spotsigs import stability
+
+    return stability(_table(spark, sf_dir, "documents"))
+
+
 def op9_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parchmint.llm.cotrain import score, train
 
@@ -72,7 +78,7 @@ def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_viterbi_toxicity, op2_temporal_url_lists, op3_simhash_trie_join, op4_benchmark_wand, op6_cost_balanced_packing, op7_typed_chat_parts, op9_cotraining_quality, op10_line_windows)}
+    return {f.__name__: f for f in (op1_viterbi_toxicity, op2_temporal_url_lists, op3_simhash_trie_join, op4_benchmark_wand, op6_cost_balanced_packing, op7_typed_chat_parts, op8_spotsigs, op9_cotraining_quality, op10_line_windows)}
 
 
 def oracle_sql() -> dict[str, str]:
