@@ -43,6 +43,13 @@ def op4_benchmark_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_masked_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parchmint.llm.masked_lm import score, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return score(docs, *train(docs))
+
+
 def op6_cost_balanced_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     from parchmint.llm.packing import pack
 
@@ -78,7 +85,7 @@ def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_viterbi_toxicity, op2_temporal_url_lists, op3_simhash_trie_join, op4_benchmark_wand, op6_cost_balanced_packing, op7_typed_chat_parts, op8_spotsigs, op9_cotraining_quality, op10_line_windows)}
+    return {f.__name__: f for f in (op1_viterbi_toxicity, op2_temporal_url_lists, op3_simhash_trie_join, op4_benchmark_wand, op5_masked_likelihood, op6_cost_balanced_packing, op7_typed_chat_parts, op8_spotsigs, op9_cotraining_quality, op10_line_windows)}
 
 
 def oracle_sql() -> dict[str, str]:
