@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows handed to a Python worker at once. Documents have no length limit, so
@@ -60,6 +60,16 @@ def dealt_anew(df: DataFrame, *cols: str) -> DataFrame:
     return df.repartition(*cols)
 
 
+def boxed(df: DataFrame, name: str = "row") -> DataFrame:
+    """The whole row as one struct, so that columns added beside it clash with none of its own."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
+
+
+def unboxed(columns: list[str], name: str = "row") -> list[Column]:
+    """The columns of a boxed row."""
+    return [F.col(f"{name}.`{c}`").alias(c) for c in columns]
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph: rows (node, component).
 

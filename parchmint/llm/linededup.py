@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import dealt_anew, written
+from parchmint.llm.common import boxed, dealt_anew, unboxed, written
 
 WINDOW = 3
 BLANKS = " \t\r"
@@ -71,28 +71,25 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     runs = runs.withColumn("place", place)
     repeated = runs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")).where("n > 1").select("h1", "h2", "first")
     later = runs.join(dealt_anew(repeated, "first"), ["h1", "h2"]).where("place <> first")
-    covered = later.groupBy("doc_id", "version").agg(F.collect_set("at").alias("_starts"))
-    covered = covered.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "_starts")
-
+    covered = later.groupBy("doc_id", "version").agg(F.collect_set("at").alias("starts"))
+    covered = covered.select(F.col("doc_id").alias("id"), "version", "starts")
+
+    text = F.col("row.text").cast("string")
+    rows = boxed(docs).withColumns({"id": F.col("row.doc_id").cast("long"), "version": F.xxhash64(text)}).alias("d")
+    same = F.col("d.id").eqNullSafe(F.col("c.id")) & (F.col("d.version") == F.col("c.version"))
+    rows = rows.join(covered.alias("c"), same, "left").select("row", "starts")
+    rows = rows.withColumn("lines", _lines(text)).withColumn("filled", F.when(F.col("starts").isNotNull(), _filled(F.col("lines"))))
+    gone = F.flatten(F.transform("starts", lambda s: F.transform(F.sequence(s, s + (size - 1)), lambda k: F.element_at("filled", k + 1))))
+    rows = rows.withColumn("stay", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), gone))
+    cut = F.array_join(F.transform("stay", lambda i: F.element_at("lines", i + 1)), "\n")
+    rows = rows.withColumn("text", F.when(F.col("starts").isNull(), text).otherwise(cut))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    lines = F.when(F.col("_starts").isNotNull(), _lines(F.col("text").cast("string")))
-    joined = docs.select(kept).withColumn("_v", F.xxhash64(F.col("text").cast("string")))
-    joined = joined.join(covered, joined.doc_id.cast("long").eqNullSafe(F.col("_id")) & (F.col("_v") == F.col("_version")), "left")
-    joined = joined.withColumn("_lines", lines).withColumn("_filled", _filled(F.col("_lines")))
-    gone = F.flatten(F.transform("_starts", lambda s: F.transform(F.sequence(s, s + (size - 1)), lambda k: F.element_at("_filled", k + 1))))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), gone)
-    joined = joined.withColumn("_stay", F.when(F.col("_starts").isNotNull(), stay))
-    text = F.when(F.col("_starts").isNull(), F.col("text").cast("string")).otherwise(F.array_join(F.transform("_stay", lambda i: F.element_at("_lines", i + 1)), "\n"))
-    total = F.coalesce(F.size(_lines(F.col("text").cast("string"))), F.lit(0))
-    out = joined.withColumns(
-        {
-            "n_lines": F.when(F.col("text").isNull(), 0).otherwise(total).cast("long"),
-            "n_removed": F.when(F.col("_starts").isNull(), 0).otherwise(F.size("_lines") - F.size("_stay")).cast("long"),
-            "_text": text,
-        }
+    fresh = {"text": F.col("text"), "n_chars": F.length("text").cast("long").alias("n_chars")}
+    return rows.select(
+        *[fresh.get(c, column) for c, column in zip(kept, unboxed(kept), strict=True)],
+        F.when(text.isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
+        F.when(F.col("starts").isNull(), 0).otherwise(F.size("lines") - F.size("stay")).cast("long").alias("n_removed"),
     )
-    columns = [F.col("_text").alias("text") if c == "text" else F.length("_text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in kept]
-    return out.select(*columns, "n_lines", "n_removed")
 
 
 #: Rows of ``dedup_lines`` over ``documents`` for DuckDB.

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import connected_components, cut_lineage, dealt_anew, small_batches
+from parchmint.llm.common import boxed, connected_components, cut_lineage, dealt_anew, small_batches, unboxed
 
 BUDGET = 3
 SEED = 42
@@ -259,12 +259,12 @@ def keep_one(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     and one of those that repeat it. A group without any doc_id keeps one row.
     """
     own = _classes(docs, split).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = own.groupBy("component").agg(F.min("component_id").alias("_id"), F.min("version").alias("_version"))
-    first = first.select(_id(F.col("_id")).alias("_id"), "_version")
-    keyed = docs.withColumns({"_id": _id(F.col("doc_id").cast("long")), "_version": F.xxhash64(F.col("text").cast("string"))})
-    kept = keyed.join(dealt_anew(first, "_version"), ["_id", "_version"])
-    nth = F.row_number().over(Window.partitionBy("_id", "_version").orderBy("_id", "_version"))
-    return kept.withColumn("_nth", nth).where("_nth = 1").select(docs.columns)
+    first = own.groupBy("component").agg(F.min("component_id").alias("id"), F.min("version").alias("version"))
+    first = first.select(_id(F.col("id")).alias("id"), "version")
+    rows = boxed(docs).withColumns({"id": _id(F.col("row.doc_id").cast("long")), "version": F.xxhash64(F.col("row.text").cast("string"))})
+    kept = rows.join(dealt_anew(first, "version"), ["id", "version"])
+    nth = F.row_number().over(Window.partitionBy("id", "version").orderBy("id", "version"))
+    return kept.withColumn("nth", nth).where("nth = 1").select(*unboxed(docs.columns))
 
 
 def _id(c: Column) -> Column:
