@@ -43,12 +43,19 @@ def intervals(entries: DataFrame) -> DataFrame:
     """
     key = ["list", "kind", "pattern"]
     daily = (
-        entries.where(F.col("action").isin("add", "remove") & F.col("dated").isNotNull() & F.col("pattern").isNotNull())
+        entries.where(F.col("action").isin("add", "remove"))
+        .dropna(subset=[*key, "dated"])
         .groupBy(*key, F.to_date("dated").alias("since"))
         .agg(F.max((F.col("action") == "add").cast("int")).alias("on"))
     )
-    until = F.lead("since").over(Window.partitionBy(*key).orderBy("since"))
-    return daily.withColumn("until", until).where("on = 1").drop("on")
+    # The next date is looked up within a month, and for a month's last entry among
+    # the months' first: no window holds more than a month or one row a month.
+    daily = daily.withColumn("month", F.trunc("since", "month"))
+    months = daily.groupBy(*key, "month").agg(F.min("since").alias("first"))
+    months = months.withColumn("next", F.lead("first").over(Window.partitionBy(*key).orderBy("month"))).drop("first")
+    within = F.lead("since").over(Window.partitionBy(*key, "month").orderBy("since"))
+    daily = daily.withColumn("within", within).join(months, [*key, "month"])
+    return daily.where("on = 1").select(*key, "since", F.coalesce("within", "next").alias("until"))
 
 
 def filter_captures(captures: DataFrame, entries: DataFrame, salts: int = SALTS) -> DataFrame:
