@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +73,24 @@ def unboxed(columns: list[str], name: str = "row") -> list[Column]:
     return [F.col(f"{name}.`{c}`").alias(c) for c in columns]
 
 
+def keep_rows(df: DataFrame, columns: list[str], keep: Callable[..., list[bool] | np.ndarray]) -> DataFrame:
+    """The rows of ``df``, all columns, for which ``keep`` is true.
+
+    ``keep`` gets a batch's values of each of ``columns`` as an Arrow array, null
+    for a column that isn't there. Columns pass by position, whatever their names.
+    """
+    small_batches(df.sparkSession)
+    places = [df.columns.index(c) if c in df.columns else None for c in columns]
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [pa.nulls(batch.num_rows) if i is None else batch.column(i) for i in places]
+            yield batch.filter(pa.array(keep(*values), pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph: rows (node, component).
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import small_batches
+from parchmint.llm.common import keep_rows, small_batches
 
 #: Labelled rows, and rows of the unlabelled pool, that are fitted on at most;
 #: both are taken in the order of a hash of doc_id.
@@ -248,12 +248,9 @@ def score(docs: DataFrame, model: CoTrained | None) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: CoTrained | None, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, with a score from ``threshold``."""
-    small_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = lambda c, b=batch: [str(x) if x is not None else None for x in b.column(b.schema.names.index(c)).to_pylist()] if c in b.schema.names else [None] * b.num_rows
-            _, _, p = _scored(model, column("lang"), column("source"), column("text"))
-            yield batch.filter(pa.array(p >= threshold))
+    def keep(langs: pa.Array, sources: pa.Array, texts: pa.Array) -> np.ndarray:
+        lists = ([None if x is None else str(x) for x in a.to_pylist()] for a in (langs, sources, texts))
+        return _scored(model, *lists)[2] >= threshold
 
-    return docs.mapInArrow(run, docs.schema)
+    return keep_rows(docs, ["lang", "source", "text"], keep)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import small_batches
+from parchmint.llm.common import keep_rows, small_batches
 
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score that a passage must reach.
@@ -244,16 +244,10 @@ def indexes(items: DataFrame, shard_postings: int = SHARD_POSTINGS) -> list[tupl
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, whose text has no hit; nothing is shuffled."""
-    small_batches(docs.sparkSession)
 
     def keep(index: Index, passage: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = batch.column(batch.schema.names.index("text"))
-                yield batch.filter(pa.array([not search_text(index, t.as_py(), passage, threshold) for t in texts], pa.bool_()))
-
-        return run
+        return lambda texts: [not search_text(index, t.as_py(), passage, threshold) for t in texts]
 
     for index, passage in indexes(items):
-        docs = docs.mapInArrow(keep(index, passage), docs.schema)
+        docs = keep_rows(docs, ["text"], keep(index, passage))
     return docs

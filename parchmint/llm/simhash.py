@@ -135,9 +135,10 @@ def _turned(fp: np.ndarray, block: int) -> np.ndarray:
 
 def _join_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Joins each (block, key, i, j) group of one partition; spanning links and link counts."""
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    held = [b for b in batches if b.num_rows]
+    if not held:
         return
+    table = pa.Table.from_batches(held)
     block, i, j, sub = (table.column(c).to_numpy() for c in ("block", "i", "j", "sub"))
     fp = table.column("fp").to_numpy().view(np.uint64)
     key = np.empty_like(fp)

@@ -140,7 +140,7 @@ _LETTER = re.compile(r"[^\W\d_]")
 _HELD = re.compile(r"([^\W\d_])\1\1")
 _SPLIT = re.compile(r"[^\W_](?:[._*~-]+[^\W_])+")
 #: Three or more single characters with blanks between them.
-_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S){2,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S){2,}[.,;:!?]*(?!\S)")
 
 
 def restore_word(token: str, model: CharModel) -> str:
