@@ -118,7 +118,7 @@ def dated(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     captures = pages.select("page_id", "url", (start.cast("timestamp") + F.make_interval(hours=(div(13) % (730 * 24)).cast("int"))).alias("fetched_at"))
     kind = x % 3
     parent = F.regexp_replace(host, r"^[^.]*\.", "")
-    prefix = F.concat(host, F.lit("/"), F.element_at(path_segments(F.col("url")), 1))
+    prefix = F.concat(host, F.lit("/"), F.try_element_at(path_segments(F.col("url")), F.lit(1)))
     entries = pages.select(
         F.when(div(3) % 5 == 0, "allow").otherwise("block").alias("list"),
         F.when(kind == 2, "prefix").otherwise("domain").alias("kind"),
