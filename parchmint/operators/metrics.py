@@ -120,9 +120,9 @@ def bootstrap(rates: DataFrame, n: int = 1000, alpha: float = 0.05, position: st
     rows = rates.select("cer", "has_abbreviation", position).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("k", times)
     f = F.col("has_abbreviation")
     sums = rows.groupBy("rep").agg(
-        (F.sum(F.col("k") * F.col("cer")) / F.sum("k")).alias("overall"),
-        (F.sum(F.when(f, F.col("k") * F.col("cer"))) / F.sum(F.when(f, F.col("k")))).alias("abbreviated"),
-        (F.sum(F.when(~f, F.col("k") * F.col("cer"))) / F.sum(F.when(~f, F.col("k")))).alias("plain"),
+        F.try_divide(F.sum(F.col("k") * F.col("cer")), F.sum("k")).alias("overall"),
+        F.try_divide(F.sum(F.when(f, F.col("k") * F.col("cer"))), F.sum(F.when(f, F.col("k")))).alias("abbreviated"),
+        F.try_divide(F.sum(F.when(~f, F.col("k") * F.col("cer"))), F.sum(F.when(~f, F.col("k")))).alias("plain"),
     )
     return intervals(sums.withColumn("delta", F.col("abbreviated") - F.col("plain")), alpha)
 

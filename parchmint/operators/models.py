@@ -6,13 +6,14 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 from parchmint.operators import metrics
 
 
 def transcribe(lines: DataFrame, model: Callable[[], Callable[[list[bytes]], list[str]]], batch: int = 8, image: str = "image") -> DataFrame:
     """``lines`` with ``prediction``; ``model()`` is made once a task and called on batches of images."""
-    schema = lines.schema.add("prediction", "string")
+    schema = StructType([*lines.schema.fields, StructField("prediction", StringType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read = model()

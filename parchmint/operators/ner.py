@@ -49,15 +49,10 @@ def annotate(lines: DataFrame, annotator: Callable[[], Callable[[str], list[dict
         for batch in batches:
             yield batch.map(one)
 
-    raw = F.pandas_udf(run, RAW, functionType=_ITERATOR)
+    raw = F.pandas_udf(run, RAW)
     return lines.withColumn("entities", kept_entities(raw(F.col(text))))
 
 
-from pyspark.sql.pandas.functions import PandasUDFType  # noqa: E402
-
-_ITERATOR = PandasUDFType.SCALAR_ITER
-
-
 def annotate_by_gazetteer(lines: DataFrame, gazetteer: DataFrame, text: str = "text") -> DataFrame:
     """(ordinal, manuscript, word, type): tokens of the lines that a gazetteer (form, type) lists, as entities.
 
