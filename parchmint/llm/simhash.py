@@ -211,9 +211,7 @@ def link_distinct(distinct: DataFrame, split: int = SPLIT) -> DataFrame:
     link is counted in one group only. Within a group, links are merged to a
     spanning forest, so at most one row a fingerprint leaves it.
     """
-    spark = distinct.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = F.array(*[F.struct(F.lit(b).alias("block"), F.shiftrightunsigned("fp", 48 - 16 * b).bitwiseAND(0xFFFF).alias("key")) for b in range(4)])
     rows = distinct.select("fp", F.explode(blocks).alias("x")).select("fp", "x.block", "x.key")
     limit = max(split, 8 * -(-distinct.count() // (1 << 16)))
