@@ -203,7 +203,7 @@ def _inputs(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> CoTrained | None:
-    """Fits on the first ``max_labelled`` labelled rows and ``max_pool`` others by hash of doc_id."""
+    """Fits on the first ``max_labelled`` labelled rows and ``max_pool`` others by hash of doc_id; a doc_id counts once."""
     small_batches(docs.sparkSession)
     key = F.xxhash64("doc_id")
     marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("quality").cast("double").alias("y"))
@@ -212,7 +212,10 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     pool = ids.join(marked, "doc_id", "left_anti").orderBy(key, "doc_id").limit(max_pool).distinct().withColumn("y", F.lit(-1.0))
     # Both sides are bounded by the limits.
     chosen = F.broadcast(some.unionByName(pool))
-    rows = _inputs(docs).join(chosen, "doc_id").mapInArrow(_features, "doc_id long, y double, text_view array<double>, page_view array<double>").toPandas()
+    rows = _inputs(docs).join(chosen, "doc_id").mapInArrow(_features, "doc_id long, y double, text_view array<double>, page_view array<double>")
+    # Rows that share a doc_id count once, so that the limits bound what is collected.
+    one = F.min(F.struct("text_view", "page_view")).alias("v")
+    rows = rows.groupBy("doc_id", "y").agg(one).select("doc_id", "y", "v.*").toPandas()
     if rows.empty:
         return None
     rows = rows.sort_values(["doc_id", "y"], kind="stable")

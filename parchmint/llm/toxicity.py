@@ -268,9 +268,11 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         evidence = Evidence(lm, weights)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([evidence.features(t.as_py()) for t in batch.column(1)], pa.list_(pa.float64()))], ["y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([evidence.features(t.as_py()) for t in batch.column(2)], pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    held = rows.where("fold = 4").select("y", "text").mapInArrow(measure, "y int, x array<double>").toPandas()
+    # Rows that share a doc_id count once, so that the limit bounds what is collected.
+    held = rows.where("fold = 4").select("doc_id", "y", "text").mapInArrow(measure, "doc_id long, y int, x array<double>")
+    held = held.groupBy("doc_id", "y").agg(F.min("x").alias("x")).toPandas().sort_values(["doc_id", "y"])
     if len(set(held.y)) < 2:
         return Model(counts, weights, np.zeros(3), np.ones(3), np.array([0.0, 0.0, 0.0, -3.0]))
     return Model(counts, weights, *_fit(np.stack(held.x.to_list()), held.y.to_numpy().astype(float)))
