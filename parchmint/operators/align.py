@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -11,47 +13,95 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 MATCH, MISMATCH, GAP = 2, -1, -2
 
 
+#: Score cells held at once; pairs are aligned together as far as that goes.
+CELLS = 4_000_000
+
+
 def align(a: str, b: str, match: int = MATCH, mismatch: int = MISMATCH, gap: int = GAP) -> tuple[str, str]:
-    """Global alignment with ``-`` for gaps; of equal paths, pairing is preferred, then a gap in ``b``.
-
-    A row of the score matrix is made at once: with the best of pairing and
-    skipping known for every column, skips along the row are a running maximum.
-    """
-    if a == b and match > max(0, mismatch, gap):
-        return a, b
-    n, m = len(a), len(b)
-    x, y = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (a, b))
+    """Global alignment with ``-`` for gaps; of equal paths, pairing is preferred, then a gap in ``b``."""
+    return align_all([(a, b)], match, mismatch, gap)[0]
+
+
+def align_all(pairs: Sequence[tuple[str, str]], match: int = MATCH, mismatch: int = MISMATCH, gap: int = GAP) -> list[tuple[str, str]]:
+    """``align`` of many pairs, those of like length at once."""
+    out: list[tuple[str, str]] = [("", "")] * len(pairs)
+    todo = []
+    for k, (a, b) in enumerate(pairs):
+        if a == b and match > max(0, mismatch, gap):
+            out[k] = (a, b)
+        else:
+            todo.append(k)
+    todo.sort(key=lambda k: (len(pairs[k][0]), len(pairs[k][1])))
+    at = 0
+    while at < len(todo):
+        n = m = 0
+        end = at
+        while end < len(todo):
+            a, b = pairs[todo[end]]
+            wide, high = max(n, len(a)), max(m, len(b))
+            if end > at and (end - at + 1) * (wide + 1) * (high + 1) > CELLS:
+                break
+            n, m, end = wide, high, end + 1
+        some = todo[at:end]
+        for k, aligned_ in zip(some, _align_group([pairs[k] for k in some], n, m, match, mismatch, gap), strict=True):
+            out[k] = aligned_
+        at = end
+    return out
+
+
+def _codes(texts: list[str], width: int, filler: int) -> np.ndarray:
+    codes = np.full((len(texts), width), filler, np.int64)
+    for k, t in enumerate(texts):
+        codes[k, : len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return codes
+
+
+def _align_group(pairs: list[tuple[str, str]], n: int, m: int, match: int, mismatch: int, gap: int) -> list[tuple[str, str]]:
+    """A row of all score matrices at a time: with the best of pairing and skipping
+    known for every column, skips along the row are a running maximum. What pads a
+    shorter text lies right of and below its own cells and never reaches them."""
+    size = len(pairs)
+    x, y = _codes([a for a, _ in pairs], n, -1), _codes([b for _, b in pairs], m, -2)
     slope = gap * np.arange(m + 1)
-    scores = np.empty((n + 1, m + 1), np.int32)
+    scores = np.empty((n + 1, size, m + 1), np.int32)
     scores[0] = slope
     for i in range(n):
-        row = np.empty(m + 1, np.int64)
-        row[0] = gap * (i + 1)
-        row[1:] = np.maximum(scores[i, :-1] + np.where(y == x[i], match, mismatch), scores[i, 1:] + gap)
-        scores[i + 1] = np.maximum.accumulate(row - slope) + slope
-    out: list[tuple[str, str]] = []
-    i, j = n, m
-    while i or j:
-        here = scores[i, j]
-        if i and j and here == scores[i - 1, j - 1] + (match if a[i - 1] == b[j - 1] else mismatch):
-            i, j = i - 1, j - 1
-            out.append((a[i], b[j]))
-        elif i and here == scores[i - 1, j] + gap:
-            i -= 1
-            out.append((a[i], "-"))
-        else:
-            j -= 1
-            out.append(("-", b[j]))
-    out.reverse()
-    return "".join(p for p, _ in out), "".join(q for _, q in out)
+        row = np.empty((size, m + 1), np.int64)
+        row[:, 0] = gap * (i + 1)
+        row[:, 1:] = np.maximum(scores[i, :, :-1] + np.where(y == x[:, i : i + 1], match, mismatch), scores[i, :, 1:] + gap)
+        scores[i + 1] = np.maximum.accumulate(row - slope, axis=1) + slope
+    i, j = np.array([len(a) for a, _ in pairs]), np.array([len(b) for _, b in pairs])
+    k, steps = np.arange(size), i + j
+    path = np.full((int(steps.max(initial=0)), 2, size), -1, np.int64)
+    used = 0
+    while ((i > 0) | (j > 0)).any():
+        here, up, left = scores[i, k, j], np.maximum(i - 1, 0), np.maximum(j - 1, 0)
+        p, q = (x[k, up], y[k, left]) if n and m else (np.zeros(size, int), np.zeros(size, int))
+        pair = (i > 0) & (j > 0) & (here == scores[up, k, left] + np.where(p == q, match, mismatch))
+        skip = ~pair & (i > 0) & (here == scores[up, k, j] + gap)
+        other = ~pair & ~skip & (j > 0)
+        dash = ord("-")
+        path[used, 0] = np.where(pair | skip, x[k, up] if n else dash, np.where(other, dash, -1))
+        path[used, 1] = np.where(pair | other, y[k, left] if m else dash, np.where(skip, dash, -1))
+        i, j, used = i - (pair | skip), j - (pair | other), used + 1
+    texts = []
+    for c in range(size):
+        both = path[:used, :, c][::-1]
+        both = both[both[:, 0] >= 0].astype(np.uint32)
+        texts.append(tuple(both[:, side].tobytes().decode("utf-32-le", "surrogatepass") for side in (0, 1)))
+    return texts
 
 
 def fuse(a: str, conf_a: float, b: str, conf_b: float) -> tuple[str, float]:
     """The confidence-weighted vote over the alignment, and the mean confidence to four places."""
+    return fuse_aligned(a, conf_a, b, conf_b, align(a, b))
+
+
+def fuse_aligned(a: str, conf_a: float, b: str, conf_b: float, pair: tuple[str, str]) -> tuple[str, float]:
     if not a or not b:
         return (b, conf_b) if not a else (a, conf_a)
     kept = []
-    for p, q in zip(*align(a, b), strict=True):
+    for p, q in zip(*pair, strict=True):
         if p == q:
             kept.append(p)
         elif p == "-" or q == "-":
@@ -72,7 +122,7 @@ def aligned(a: Column, b: Column) -> Column:
 
     @F.pandas_udf(_ALIGNED)
     def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([align(p or "", q or "") for p, q in zip(x, y, strict=True)], columns=["a", "b"])
+        return pd.DataFrame(align_all([(p or "", q or "") for p, q in zip(x, y, strict=True)]), columns=["a", "b"])
 
     return run(a, b)
 
@@ -82,6 +132,8 @@ def fused(a: Column, conf_a: Column, b: Column, conf_b: Column) -> Column:
 
     @F.pandas_udf(_FUSED)
     def run(x: pd.Series, cx: pd.Series, y: pd.Series, cy: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([fuse(p or "", float(u), q or "", float(v)) for p, u, q, v in zip(x, cx, y, cy, strict=True)], columns=["text", "confidence"])
+        pairs = [(p or "", q or "") for p, q in zip(x, y, strict=True)]
+        rows = zip(pairs, cx, cy, align_all(pairs), strict=True)
+        return pd.DataFrame([fuse_aligned(p, float(u), q, float(v), both) for (p, q), u, v, both in rows], columns=["text", "confidence"])
 
     return run(a, conf_a.cast("double"), b, conf_b.cast("double"))

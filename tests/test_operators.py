@@ -138,6 +138,15 @@ def test_align():
         assert sum(2 if p == q else -2 if "-" in (p, q) else -1 for p, q in zip(x, y, strict=True)) == brute_align(a, b)
 
 
+def test_align_many_at_once(monkeypatch):
+    rng = random.Random(2)
+    many = [tuple("".join(rng.choices("abé😀", k=rng.randrange(14))) for _ in (0, 1)) for _ in range(120)]
+    one_by_one = [align.align(a, b) for a, b in many]
+    assert align.align_all(many) == one_by_one
+    monkeypatch.setattr(align, "CELLS", 500)
+    assert align.align_all(many) == one_by_one and align.align_all([]) == []
+
+
 def test_fuse(spark):
     assert align.fuse("bonjour", 0.9, "bonjur", 0.7) == ("bonjour", 0.8)
     assert align.fuse("", 0.1, "x", 0.9) == ("x", 0.9) and align.fuse("x", 0.1, "", 0.9) == ("x", 0.1)
