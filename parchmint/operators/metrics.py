@@ -116,7 +116,8 @@ def bootstrap(rates: DataFrame, n: int = 1000, alpha: float = 0.05, position: st
     for k in range(10):
         total += math.exp(-1) / math.factorial(k)
         cuts.append(total)
-    times = T.let(u, lambda x: reduce(lambda n, c: n + F.when(x >= c, 1).otherwise(0), cuts, F.lit(0)))
+    # Comparisons without branches, so that generated code computes the hash once.
+    times = reduce(lambda n, c: n + (u >= c).cast("int"), cuts, F.lit(0))
     rows = rates.select("cer", "has_abbreviation", position).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("k", times)
     f = F.col("has_abbreviation")
     sums = rows.groupBy("rep").agg(
