@@ -7,6 +7,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -79,12 +80,43 @@ class Index:
         self.block_ids = np.array([b for bs, _ in self.blocks for b in bs], np.int64)
         self.block_max = np.array([w for _, ws in self.blocks for w in ws])
 
+    def _spread(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For all blocks of these terms: the place of the term, and the place of the block's entry."""
+        lo, n = self.block_at[terms], self.block_at[terms + 1] - self.block_at[terms]
+        return np.repeat(np.arange(len(terms)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+
     def may_match(self, terms: np.ndarray, threshold: float) -> bool:
         """Whether any block's maxima over these distinct terms reach the threshold."""
-        lo, n = self.block_at[terms], self.block_at[terms + 1] - self.block_at[terms]
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        _, at = self._spread(terms)
         return bool((np.bincount(self.block_ids[at], self.block_max[at]) >= threshold - 1e-9).any())
 
+    def live_passages(self, ids: np.ndarray, half: int, count: int, threshold: float) -> np.ndarray:
+        """The passages of a text for which ``may_match`` holds, all tested together.
+
+        Passage k is the words from ``k * half`` on, twice ``half`` of them; a word
+        counts where it is the first of its kind in the passage.
+        """
+        n = len(ids)
+        order = np.argsort(ids, kind="stable")
+        before = np.full(n, -1)
+        same = ids[order[1:]] == ids[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
+        at = np.flatnonzero(ids < len(self.terms))
+        own = at // half
+        place = np.concatenate([at, at])
+        passage = np.concatenate([own, own - 1])
+        keep = (passage >= 0) & (passage < count) & (before[place] < passage * half)
+        place, passage = place[keep], passage[keep]
+        blocks = -(-len(self.ids) // BLOCK)
+        live = []
+        step = max(1, 2_000_000 // max(1, blocks))
+        for k in range(0, count, step):
+            mine = (passage >= k) & (passage < k + step) if count > step else slice(None)
+            which, entry = self._spread(ids[place[mine]])
+            key = (passage[mine][which] - k) * blocks + self.block_ids[entry]
+            live.append((np.bincount(key, self.block_max[entry], min(step, count - k) * blocks).reshape(-1, blocks) >= threshold - 1e-9).any(1))
+        return np.flatnonzero(np.concatenate(live))
+
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All items whose score reaches the threshold, by block-max WAND (Ding and Suel, 2011)."""
         threshold -= 1e-9
@@ -163,18 +195,20 @@ def search_text(index: Index, text: str | None, passage: int, threshold: float)
     if not words:
         return []
     none = len(index.terms)
-    ids = np.fromiter(map(index.terms.get, words, (none for _ in words)), np.int64, len(words))
+    ids = np.fromiter(map(index.terms.get, words, repeat(none)), np.int64, len(words))
     total = np.concatenate([[0.0], np.cumsum(index.bounds[ids])])
     starts = np.arange(0, max(1, len(words) - passage // 2), passage // 2)
     ends = np.minimum(starts + passage, len(words))
     best: dict[int, tuple[int, float, int, int, float, float]] = {}
-    # The sum of all bounds is WAND's first test: below the threshold there is no pivot.
-    for k in np.flatnonzero(total[ends] - total[starts] >= threshold - 1e-9).tolist():
+    if not none:
+        return []
+    # The sums of bounds are WAND's first tests: below the threshold there is no pivot.
+    if not (total[ends] - total[starts] >= threshold - 1e-9).any():
+        return []
+    for k in index.live_passages(ids, passage // 2, len(starts), threshold).tolist():
         s, e = int(starts[k]), int(ends[k])
         terms = np.unique(ids[s:e])
         terms = terms[terms < none]
-        if index.bounds[terms].sum() < threshold - 1e-9 or not index.may_match(terms, threshold):
-            continue
         own: dict[int, set] = {}
         for item, score in index.search(terms.tolist(), threshold):
             shared = []
