@@ -22,7 +22,7 @@ BLOCK_TOKENS = 1 << 21
 #: Attention cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: Words whose ids a worker remembers before it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -95,6 +95,17 @@ class WordTokenizer(dict):
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+#: The last tokenizer of this worker, with the words of its tasks before.
+_LAST: dict[str, WordTokenizer] = {}
+
+
+def tokenizer_of(path: str) -> WordTokenizer:
+    if path not in _LAST:
+        _LAST.clear()
+        _LAST[path] = WordTokenizer(path)
+    return _LAST[path]
+
+
 def _latin1(text: str) -> bool:
     try:
         text.encode("latin-1")
@@ -174,7 +185,7 @@ def _pack(path: str, max_len: int, end_id: int, block_tokens: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokenizer(path)
+        words = tokenizer_of(path)
         first = TaskContext.get().partitionId() << 40
         held: list[tuple[int | None, bytes]] = []
         tokens = 0
