@@ -69,7 +69,16 @@ class Vocabulary:
     rare: np.ndarray
 
     def ids(self) -> _Ids:
-        return _Ids({w: i for i, w in enumerate(self.words)})
+        """The words' ids; a worker keeps what it has looked up for its next tasks."""
+        key = hash(tuple(self.words))
+        if key not in _LAST:
+            _LAST.clear()
+            _LAST[key] = _Ids({w: i for i, w in enumerate(self.words)})
+        return _LAST[key]
+
+
+#: The last vocabulary's ids in this worker.
+_LAST: dict[int, _Ids] = {}
 
 
 class _Ids(dict):
@@ -81,7 +90,9 @@ class _Ids(dict):
         if len(self) >= self.limit:
             self.clear()
             self.update(self.known)
-        self[word] = i = self.known.get(word, KNOWN + zlib.crc32(word.encode("utf-8", "surrogatepass")) % MEMBERS)
+            if word in self.known:
+                return self.known[word]
+        self[word] = i = KNOWN + zlib.crc32(word.encode("utf-8", "surrogatepass")) % MEMBERS
         return i
 
 
@@ -144,9 +155,10 @@ class Network:
         return z - np.log(np.exp(z).sum(1, keepdims=True))
 
     @staticmethod
-    def _picked(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Log-softmax of each row at one column."""
-        z -= z.max(1, keepdims=True)
+    def _picked(z: np.ndarray, at: np.ndarray, small: bool) -> np.ndarray:
+        """Log-softmax of each row at one column; ``small``: no exponential can overflow as it is."""
+        if not small:
+            z -= z.max(1, keepdims=True)
         picked = z[np.arange(len(z)), at]
         np.exp(z, out=z)
         return picked - np.log(z.sum(1))
@@ -163,12 +175,14 @@ class Network:
         group, member = target // MEMBERS, target % MEMBERS
         order = np.argsort(group, kind="stable")
         h, group, member = h[order], group[order], member[order]
-        found = self._picked(h @ self.to_class.T + self.class_bias, group)
+        # |h| is below one, so weights and biases bound every output.
+        small = max(float((np.abs(w).sum(-1) + np.abs(b)).max()) for w, b in ((self.to_class, self.class_bias), (self.to_word, self.word_bias))) < 60
+        found = self._picked(h @ self.to_class.T + self.class_bias, group, small)
         cuts = np.searchsorted(group, np.arange(CLASSES + 1))
         for c in range(CLASSES):
             rows = slice(cuts[c], cuts[c + 1])
             if cuts[c + 1] > cuts[c]:
-                found[rows] += self._picked(h[rows] @ self.to_word[c].T + self.word_bias[c], member[rows])
+                found[rows] += self._picked(h[rows] @ self.to_word[c].T + self.word_bias[c], member[rows], small)
         out = np.empty_like(found)
         out[order] = found
         return out
