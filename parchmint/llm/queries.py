@@ -66,9 +66,9 @@ def op7_typed_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from parchmint.llm.spotsigs import stability
+    from parchmint.llm.spotsigs import near_duplicates
 
-    return stability(_table(spark, sf_dir, "documents"))
+    return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op9_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import small_batches
+from parchmint.llm.common import dealt_anew, small_batches, written
 
 #: Content words of a chain.
 CHAIN = 2
@@ -22,6 +22,10 @@ CHAIN = 2
 FEW = 8
 #: Ranges of doc_id for each shuffle partition, so that their sizes even out.
 RANGES = 4
+#: Likeness from which two documents are near-duplicates.
+ALIKE = 0.8
+#: Bits of a signature that choose the counter of how often it occurs.
+COUNTER_BITS = 18
 _LAST = (1 << 63) - 1
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -176,3 +180,124 @@ def stability(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     return _with_next(docs).mapInArrow(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+def _sets(docs: DataFrame) -> DataFrame:
+    """doc_id, id and sigs of every row: the set as bytes and its 64-bit hash; equal sets share an id."""
+    rows = fingerprints(docs).select("doc_id", _id(F.col("fingerprint")).alias("id"), F.unhex("fingerprint").alias("sigs"))
+    return written(rows)
+
+
+def _id(fingerprint: Column) -> Column:
+    return F.xxhash64(fingerprint)
+
+
+def _decoded(sigs: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(sigs.as_py(), ">u4").astype(np.uint32)
+
+
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How often signatures occur in all sets, summed by their first COUNTER_BITS bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNTER_BITS, np.int64)
+        for batch in batches:
+            for s in batch.column(0):
+                np.add.at(total, _decoded(s) >> (32 - COUNTER_BITS), 1)
+        at = np.flatnonzero(total)
+        for k in range(0, len(at), 50_000):
+            some = at[k : k + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["counter", "n"])
+
+    found = sets.select("sigs").mapInArrow(run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << COUNTER_BITS, np.int64)
+    out[found.column("counter").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def _index(sets: DataFrame, threshold: float) -> DataFrame:
+    """id, n, class, sig and at (its place) of every set's rarest signatures.
+
+    In one common order, rare ones first, sets that are alike enough share one of
+    the n - ceil(threshold n) + 1 first signatures of each.
+    """
+    often = _frequencies(sets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sizes, classes, sigs, places = [], [], [], [], []
+            for i, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = _decoded(s)
+                if not len(own):
+                    continue
+                k = len(own) - math.ceil(threshold * len(own) - 1e-9) + 1
+                own = own[np.lexsort((own, often[own >> (32 - COUNTER_BITS)]))[:k]]
+                ids += [i] * len(own)
+                sizes += [len(s.as_py()) // 4] * len(own)
+                classes += [length_class(sizes[-1], threshold)] * len(own)
+                sigs.append(own.astype(np.int64))
+                places += range(len(own))
+            sig = np.concatenate(sigs) if sigs else np.zeros(0, np.int64)
+            columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(classes, pa.int32()), pa.array(sig, pa.int64()), pa.array(places, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "class", "sig", "at"])
+
+    return sets.select("id", "sigs").mapInArrow(run, "id long, n int, class int, sig long, at int").distinct()
+
+
+def _alike(sets: DataFrame, threshold: float) -> DataFrame:
+    """(x, y) for every two different sets whose Jaccard likeness reaches ``threshold``, in one direction."""
+    index = written(_index(sets, threshold))
+    # A set meets those of its own class and of the next one, where it is the shorter.
+    a = index.select(F.col("id").alias("x"), F.col("n").alias("n1"), F.col("at").alias("at1"), F.col("class"), "sig")
+    also = F.explode(F.array(F.col("class"), F.col("class") - 1)).alias("class")
+    b = index.select(F.col("id").alias("y"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("class").alias("home"), also, "sig")
+    # What follows a shared signature bounds how many more can be shared.
+    need = F.lit(threshold / (1 + threshold)) * (F.col("n1") + F.col("n2")) - 1e-9
+    bound = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))
+    lengths = F.least("n1", "n2") >= F.lit(threshold) * F.greatest("n1", "n2") - 1e-9
+    once = (F.col("home") != F.col("class")) | (F.col("x") < F.col("y"))
+    # Both sides get an exchange, so that hot signatures of a class are split.
+    pairs = written(a.join(b, ["class", "sig"]).where(once & lengths & (bound >= need)).select("x", "y").distinct())
+    ids = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct()
+    own = sets.select("id", "sigs").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    both = pairs.join(dealt_anew(own.select(F.col("id").alias("x"), F.col("sigs").alias("s1")), "s1"), "x")
+    both = both.join(dealt_anew(own.select(F.col("id").alias("y"), F.col("sigs").alias("s2")), "s2"), "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [jaccard(_decoded(s), _decoded(t), threshold) >= threshold - 1e-12 for s, t in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select(["x", "y"]).filter(pa.array(near, pa.bool_()))
+
+    return both.select("x", "y", "s1", "s2").mapInArrow(run, "x long, y long")
+
+
+def near_sets(docs: DataFrame, threshold: float = ALIKE) -> DataFrame:
+    """id, n_near, first_near of the signature sets with near-duplicates anywhere in the corpus.
+
+    id is the 64-bit hash of the fingerprint. n_near counts the other rows whose
+    set's Jaccard likeness reaches ``threshold``; first_near is the smallest
+    doc_id of those and of the set's own rows. Sets are partitioned by length
+    class; within a class and the next one, sets that share one of their rarest
+    signatures are compared, by pruned Jaccard. Equal sets, empty ones too, are
+    counted and not paired.
+    """
+    small_batches(docs.sparkSession)
+    sets = _sets(docs)
+    groups = sets.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+    pairs = written(_alike(sets, threshold))
+    pairs = pairs.union(pairs.select("y", "x"))
+    others = pairs.join(dealt_anew(groups.withColumnRenamed("id", "y"), "n", "y"), "y").groupBy(F.col("x").alias("id")).agg(F.sum("n").alias("more"), F.min("first").alias("before"))
+    found = groups.join(others, "id", "left").select("id", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_near"), F.least("first", "before").alias("first_near"))
+    return found.where("n_near > 0")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = ALIKE) -> DataFrame:
+    """``stability`` of every row with n_near and first_near, as in ``near_sets``.
+
+    A row without near-duplicates has n_near 0 and its own doc_id first.
+    """
+    near = written(near_sets(docs, threshold)).withColumnRenamed("id", "set_id")
+    rows = stability(docs)
+    rows = rows.join(near, _id(F.col("fingerprint")) == F.col("set_id"), "left")
+    n, first = F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("first_near")).alias("first_near")
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", n, first)

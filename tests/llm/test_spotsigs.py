@@ -73,3 +73,25 @@ def test_odd_rows(odd, none):
         equal.setdefault(r.n_chars, set()).add(r.fingerprint)
     assert len(equal[38]) == 1
     assert {r.n_chars for r in spotsigs.fingerprints(odd).collect()} == {r.n_chars for r in got}
+
+
+def test_near_duplicates_anywhere(make, odd, none):
+    """Near-copies far apart, of several lengths, hot sets and equal ones, against all pairs."""
+    rng = random.Random(3)
+    base = [" ".join(rng.choices(["the", "a", "of", *(f"w{k}" for k in range(400))], k=rng.choice([3, 12, 60, 300]))) for _ in range(60)]
+    rows = list(enumerate(base + [None, "", "the"]))
+    for k in range(90):
+        words = rng.choice(base).split()
+        for _ in range(rng.choice([0, 1, 1, 3, 8])):
+            words.insert(rng.randrange(len(words)), f"new{rng.randrange(99)}")
+        rows.append((1000 + k, " ".join(words)))
+    hot = "the red fox of a long tale and the blue bird of the old tree in a deep wood with the grey wolf " * 2
+    rows += [(2000 + k, f"{hot} the end{k}") for k in range(30)]
+    sets = [(i, set(brute_signatures(t))) for i, t in rows]
+    like = lambda a, b: len(a & b) / len(a | b) if a or b else 1.0
+    want = {i: [j for j, t in sets if j != i and like(s, t) >= 0.8 - 1e-12] for i, s in sets}
+    got = {r.doc_id: r for r in spotsigs.near_duplicates(make(rows)).collect()}
+    assert {i: (r.n_near, r.first_near) for i, r in got.items()} == {i: (len(x), min([i, *x])) for i, x in want.items()}
+    assert sum(any(abs(i - j) > 1 for j in x) for i, x in want.items()) > 60
+    assert sorted(tuple(r)[:7] for r in got.values()) == brute(rows)
+    assert len(spotsigs.near_duplicates(odd).collect()) == 10 and spotsigs.near_duplicates(none).collect() == []
