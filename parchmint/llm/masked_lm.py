@@ -19,8 +19,8 @@ from parchmint.llm.common import cut_lineage, small_batches
 CLASSES, MEMBERS = 64, 64
 #: Width of the network, and tokens that it sees on either side.
 WIDTH, SIDE = 24, 2
-#: Passes over the corpus; every STRIDE-th token of every document is a target in a pass.
-ROUNDS, STRIDE = 2, 8
+#: Passes over the corpus; every token of every document is a target in each.
+ROUNDS = 2
 BATCH, RATE = 2048, 0.05
 #: Tokens scored at once, and words a worker counts or remembers at once.
 SCORED, CACHE_WORDS = 8192, 400_000
@@ -219,14 +219,14 @@ class Network:
         return g
 
 
-def windows(ids: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
-    """For each token (or those at ``at``) the ids of SIDE tokens before and after it, padded at the ends."""
+def windows(ids: np.ndarray) -> np.ndarray:
+    """For each token the ids of SIDE tokens before and after it, padded at the ends."""
     padded = np.concatenate([np.full(SIDE, PAD), ids, np.full(SIDE, PAD)])
     around = np.array([i for i in range(2 * SIDE + 1) if i != SIDE])
-    return padded[(np.arange(len(ids)) if at is None else at)[:, None] + around]
+    return padded[np.arange(len(ids))[:, None] + around]
 
 
-def _train(vocab: Vocabulary, flat: np.ndarray, round_: int):
+def _train(vocab: Vocabulary, flat: np.ndarray):
     """Adagrad over a task's own documents, from the common parameters; one row: their sum weighted by targets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,10 +246,9 @@ def _train(vocab: Vocabulary, flat: np.ndarray, round_: int):
                 if not words:
                     continue
                 own = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-                at = np.arange((round_ * 3 + len(words)) % min(STRIDE, len(words)), len(words), STRIDE)
-                contexts.append(windows(own, at))
-                targets.append(own[at])
-                held += len(at)
+                contexts.append(windows(own))
+                targets.append(own)
+                held += len(own)
                 if held >= 16 * BATCH:
                     context, target = np.concatenate(contexts), np.concatenate(targets)
                     shuffled = np.random.default_rng(total).permutation(len(target))
@@ -294,9 +293,9 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Network]:
     vocab = vocabulary(docs)
     net = Network.start(vocab)
     texts = docs.select(F.col("text").cast("string"))
-    for k in range(rounds):
+    for _ in range(rounds):
         small_batches(spark)
-        sums = texts.mapInArrow(_train(vocab, net.flat, k), _PARAMS)
+        sums = texts.mapInArrow(_train(vocab, net.flat), _PARAMS)
         spread = texts.rdd.getNumPartitions()
         sums = cut_lineage(sums)
         while spread > FAN_IN:

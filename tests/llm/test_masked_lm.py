@@ -64,3 +64,10 @@ def test_training_beats_unigrams_and_order_matters(make, odd, none):
     assert lm.score(none, vocab, net).collect() == []
     empty, untaught = lm.train(none)
     assert empty.words == [] and np.isfinite(untaught.flat).all()
+
+
+def test_every_token_is_a_target(make):
+    docs = make([(1, "one"), (2, " ".join(f"w{i}" for i in range(1000))), (3, None), (4, "a b c d e f g h i")]).repartition(2)
+    vocab = lm.vocabulary(docs)
+    rows = docs.select("text").mapInArrow(lm._train(vocab, lm.Network.start(vocab).flat), lm._PARAMS).collect()
+    assert sum(r.weight for r in rows) == 1010
