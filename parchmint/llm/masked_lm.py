@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import cut_lineage, small_batches
+from parchmint.llm.common import cut_lineage, dealt_anew, small_batches, written
 
 #: Classes and words of a class; the last class holds buckets of rarer words.
 CLASSES, MEMBERS = 64, 64
@@ -61,12 +61,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """The most frequent words by rank, and for the rest their counts by hash bucket."""
+    """The most frequent words by rank, for the rest their counts by hash bucket, and each one's in a table."""
 
     words: list[str]
     counts: np.ndarray
     #: Distinct rarer words of each bucket, one more for those never seen.
     rare: np.ndarray
+    #: (word, n) of the rarer words that occur twice or more; stays with the driver.
+    table: DataFrame | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": None}
 
     def ids(self) -> _Ids:
         """The words' ids; a worker keeps what it has looked up for its next tasks."""
@@ -103,19 +108,20 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     words = {r.word for r in top}
     some = docs.sparkSession.createDataFrame([(w,) for w in words] or [("",)], "word string")
     bucket = F.crc32(F.encode("word", "UTF-8")) % MEMBERS
-    rest = counts.join(F.broadcast(some), "word", "left_anti").groupBy(bucket.alias("b")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect()
+    others = counts.join(F.broadcast(some), "word", "left_anti")
+    rest = others.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect()
     total, kinds = np.zeros(CLASSES * MEMBERS), np.ones(MEMBERS)
     total[: len(top)] = [r.n for r in top]
     for r in rest:
         total[KNOWN + r.b], kinds[r.b] = r.n, r.kinds + 1
-    return Vocabulary([r.word for r in top], total, kinds)
+    return Vocabulary([r.word for r in top], total, kinds, others.where("n > 1"))
 
 
 class Network:
     """Class-factored softmax over a tanh layer on the weighted embeddings of both sides.
 
-    P(word | sides) = P(class | sides) P(word | class, sides); a rare word is its
-    bucket's share for each of the bucket's kinds. At the start the output is the
+    P(word | sides) = P(class | sides) P(word | class, sides); a rare word has the
+    share of its bucket that its count is of the bucket's. At the start the output is the
     corpus's unigram distribution.
     """
 
@@ -308,10 +314,15 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Network]:
     return vocab, net
 
 
-def score_texts(texts: list[str | None], ids: _Ids, vocab: Vocabulary, net: Network) -> list[tuple[int, float]]:
-    """(tokens, summed log-probability) of each text."""
+def score_texts(texts: list[str | None], ids: _Ids, vocab: Vocabulary, net: Network, late_words: list[list[str]] | None = None) -> list[tuple[int, float]]:
+    """(tokens, summed log-probability) of each text.
+
+    Rarer words share their bucket evenly. With ``late_words`` each of them counts
+    as one occurrence of all in its bucket and one more, and is added to that list
+    by text, for its own count to be brought in.
+    """
     out = []
-    rare, tables = np.log(vocab.rare), net.tables()
+    rare, tables = np.log(vocab.rare if late_words is None else vocab.counts[KNOWN:] + 1), net.tables()
     held: list[np.ndarray] = []
 
     def flush() -> None:
@@ -329,6 +340,8 @@ def score_texts(texts: list[str | None], ids: _Ids, vocab: Vocabulary, net: Netw
     for t in texts:
         words = tokens_of(t)
         held.append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)))
+        if late_words is not None:
+            late_words.append([words[i] for i in np.flatnonzero(held[-1] >= KNOWN).tolist()])
         tokens += len(words)
         if tokens >= 8 * SCORED:
             flush()
@@ -341,19 +354,33 @@ def score(docs: DataFrame, vocab: Vocabulary, net: Network) -> DataFrame:
     """doc_id, n_tokens, log_likelihood, per_token of every row.
 
     log_likelihood sums the log-probability of each token given SIDE tokens on
-    both sides. Null and blank texts have no tokens, log_likelihood 0 and a null
-    per_token. Repeated rows are scored each; null doc_ids stay null; other
-    columns are ignored. No rows in, none out.
+    both sides. A rarer word's is its bucket's, times its count in the corpus over
+    the bucket's count and one; a word never seen counts as one. Null and blank
+    texts have no tokens, log_likelihood 0 and a null per_token. Repeated rows are
+    scored each; null doc_ids stay null; other columns are ignored. No rows in,
+    none out.
     """
     small_batches(docs.sparkSession)
+    even = vocab.table is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = vocab.ids()
         for batch in batches:
-            found = score_texts(batch.column(1).to_pylist(), ids, vocab, net)
+            late: list[list[str]] = []
+            found = score_texts(batch.column(1).to_pylist(), ids, vocab, net, None if even else late)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([x for _, x in found], pa.float64()), pa.array([x / n if n else None for n, x in found], pa.float64())],
-                ["doc_id", "n_tokens", "log_likelihood", "per_token"],
+                [batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([x for _, x in found], pa.float64()), pa.array([[]] * len(found) if even else late, pa.list_(pa.string()))],
+                ["doc_id", "n_tokens", "log_likelihood", "late"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, per_token double")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, late array<string>")
+    if not even:
+        rows = written(rows.withColumn("row", F.monotonically_increasing_id()))
+        words = rows.select("row", F.explode("late").alias("word"))
+        # Decimals, so that sums don't depend on their order.
+        log = F.log("n").cast("decimal(18,12)")
+        more = words.join(dealt_anew(vocab.table.select("word", "n"), "n", "word"), "word").groupBy("row").agg(F.sum(log).cast("double").alias("more"))
+        rows = rows.select("row", "doc_id", "n_tokens", "log_likelihood").join(more, "row", "left")
+        rows = rows.withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("more", F.lit(0.0)))
+    per = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
+    return rows.select("doc_id", "n_tokens", "log_likelihood", per.alias("per_token"))

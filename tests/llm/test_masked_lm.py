@@ -1,4 +1,6 @@
+import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -71,3 +73,17 @@ def test_every_token_is_a_target(make):
     vocab = lm.vocabulary(docs)
     rows = docs.select("text").mapInArrow(lm._train(vocab, lm.Network.start(vocab).flat), lm._PARAMS).collect()
     assert sum(r.weight for r in rows) == 1010
+
+
+def test_rarer_words_keep_their_counts(make):
+    """Two words of one bucket, and one never seen."""
+    bucket = lambda w: zlib.crc32(w.encode()) % lm.MEMBERS
+    once, never = [w for w in (f"x{j}" for j in range(9999)) if bucket(w) == bucket("often")][:2]
+    docs = [(i, " ".join(f"k{j}" for j in range(lm.KNOWN))) for i in range(5)] + [(9, f"often often {once} often often")]
+    vocab = lm.vocabulary(make(docs))
+    net = lm.Network.start(vocab)
+    got = {r.doc_id: r for r in lm.score(make([(1, "often"), (2, once), (3, never), (4, "k1"), (5, "")]), vocab, net).collect()}
+    alone = net.log_probability(np.full((1, 4), lm.PAD), np.array([lm.KNOWN + bucket("often")]))[0]
+    assert got[1].log_likelihood == pytest.approx(alone + math.log(4 / 6), abs=1e-4)
+    assert got[2].log_likelihood == got[3].log_likelihood == pytest.approx(alone + math.log(1 / 6), abs=1e-4)
+    assert got[4].per_token == got[4].log_likelihood < 0 and got[5].per_token is None
