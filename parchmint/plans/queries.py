@@ -341,12 +341,12 @@ def worst20(spark, sf_dir):
 
 @query()
 def bootstrap_ci(spark, sf_dir):
-    return metrics.bootstrap(_rates(spark, sf_dir), n=200, position="ordinal")
+    return metrics.bootstrap(_rates(spark, sf_dir), position="ordinal")
 
 
 @query()
 def evaluation_report(spark, sf_dir):
-    return report.evaluation(_rates(spark, sf_dir), n_bootstrap=100, position="ordinal")
+    return report.evaluation(_rates(spark, sf_dir), position="ordinal")
 
 
 # Delivery.

@@ -52,3 +52,11 @@ def test_entry_without_the_corpus_operators(monkeypatch):
     find = importlib.util.find_spec
     monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name.startswith(("parchmint.llm", "corpus_pipeline")) else find(name, *a))
     assert set(entry.queries()) == set(plans.QUERIES) and set(entry.oracle_sql()) == set(plans.ORACLES)
+
+
+def test_bootstraps_draw_a_thousand_resamples(spark, tables, monkeypatch):
+    drawn, intervals = [], plans.metrics.intervals
+    monkeypatch.setattr(plans.metrics, "intervals", lambda sums, alpha: drawn.append(sums.count()) or intervals(sums, alpha))
+    for name in ("bootstrap_ci", "evaluation_report"):
+        plans.QUERIES[name](spark, tables[0])
+    assert drawn == [1000, 1000]
