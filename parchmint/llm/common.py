@@ -4,31 +4,49 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows handed to a Python worker at once. Documents have no length limit, so
-#: batches are kept small: a worker holds one batch, not one partition.
-ARROW_ROWS = 1000
+#: Rows and bytes handed to a Python worker at once. Documents have no length
+#: limit, so batches are kept small: a worker holds one batch, not one partition.
+ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
+#: Partial sums that one task adds up, and that the driver receives at most.
+FAN_IN = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, local mode) a temporary folder is
-    made once and kept in the session.
+    Where a local session names none (tests) a temporary folder is made once and
+    kept in the session. On a cluster that is an error: executors couldn't read
+    what another one wrote.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="parchmint-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/parchmint-{spark.sparkContext.applicationId}"
+
+
+def clear_written(spark: SparkSession) -> None:
+    """Deletes what ``written`` has left in the shared folder; results that still read it break."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``df`` in the shared folder."""
     spark = df.sparkSession
@@ -42,16 +60,61 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """``df`` as Parquet in the shared folder, read back.
 
-    For results that several later plans scan with column pruning.
+    For results that several later plans scan with column pruning. All of an
+    application's files are in one folder, see ``clear_written``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/parchmint-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Bounds Arrow batches for the session, unless its own bounds are closer.
+
+    Spark reads the setting when a result is computed, so it can't be put back
+    by whoever builds the plan.
+    """
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).strip().lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+PARTIAL = "key long, values binary"
+
+
+def partial(values: np.ndarray) -> pa.RecordBatch:
+    """A task's float64 vector as a row of ``total``."""
+    return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([values.astype(np.float64).tobytes()], pa.binary())], ["key", "values"])
+
+
+def total(rows: DataFrame, fan_in: int = FAN_IN) -> np.ndarray | None:
+    """The sum of the vectors of all tasks, one row of ``partial`` each, over a tree of tasks.
+
+    Neither a task nor the driver holds more than about ``fan_in`` of them, and
+    they are added in the order of their keys. None without rows.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _in_order(r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        if held is not None:
+            yield partial(held)
+
+    parts = rows.rdd.getNumPartitions()
+    while parts > fan_in:
+        parts = -(-parts // fan_in)
+        rows = rows.repartition(parts, F.col("key") % parts).mapInArrow(add, PARTIAL)
+    return _in_order(tuple(r) for r in rows.collect())
+
+
+def _in_order(rows: Iterable[tuple[int, bytes]]) -> np.ndarray | None:
+    held = None
+    for _, v in sorted(rows):
+        x = np.frombuffer(v, np.float64)
+        held = x.copy() if held is None else held + x
+    return held
 
 
 def dealt_anew(df: DataFrame, *cols: str) -> DataFrame:
