@@ -2,39 +2,56 @@
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import cut_lineage, dealt_anew, small_batches, written
+from parchmint.llm.common import PARTIAL, cut_lineage, dealt_anew, partial, small_batches, total, written
 
 #: Classes and words of a class; the last class holds buckets of rarer words.
 CLASSES, MEMBERS = 64, 64
 #: Width of the network, and tokens that it sees on either side.
-WIDTH, SIDE = 24, 2
-#: Passes over the corpus; every token of every document is a target in each.
-ROUNDS = 2
-BATCH, RATE = 2048, 0.05
+WIDTH, SIDE = 16, 2
+#: Passes over the corpus, in each of which every token of every document is a
+#: target once, and the parts of a pass after which the tasks' networks are averaged.
+ROUNDS, PHASES = 1, 4
+BATCH, RATE = 16384, 0.1
+#: Batches that are dealt out of one buffer of texts.
+MIXED = 8
 #: Tokens scored at once, and words a worker counts or remembers at once.
 SCORED, CACHE_WORDS = 8192, 400_000
-#: Parameter sets summed by one task, and that the driver receives at most.
-FAN_IN = 16
 
 KNOWN = CLASSES * MEMBERS - MEMBERS
 PAD = CLASSES * MEMBERS
+#: Where a token's context lies from it.
+AROUND = [i for i in range(-SIDE, SIDE + 1) if i]
+#: Logarithms of counts are summed as integers, so that no order shows.
+LOG_UNIT = 1e9
 
 
 def tokens_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
+def hash_of(word: str) -> int:
+    """63 bits by which rarer words are known, as ``_hash`` has them; their lowest bits are the bucket."""
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42) >> 1
+
+
+def _hash(word: str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(word), 1)
+
+
+def bucket_of(word: str) -> int:
+    return hash_of(word) % MEMBERS
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n): how often each token occurs in all texts."""
     small_batches(docs.sparkSession)
@@ -65,16 +82,14 @@ class Vocabulary:
 
     words: list[str]
     counts: np.ndarray
-    #: Distinct rarer words of each bucket, one more for those never seen.
-    rare: np.ndarray
-    #: (word, n) of the rarer words that occur twice or more; stays with the driver.
+    #: (h, n) of the rarer words that occur twice or more; stays with the driver.
     table: DataFrame | None = None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"table": None}
 
     def ids(self) -> _Ids:
-        """The words' ids; a worker keeps what it has looked up for its next tasks."""
+        """The words' codes; a worker keeps what it has looked up for its next tasks."""
         key = hash(tuple(self.words))
         if key not in _LAST:
             _LAST.clear()
@@ -82,11 +97,13 @@ class Vocabulary:
         return _LAST[key]
 
 
-#: The last vocabulary's ids in this worker.
+#: The last vocabulary's codes in this worker.
 _LAST: dict[int, _Ids] = {}
 
 
 class _Ids(dict):
+    """A frequent word's rank, or -1 less a rarer one's hash."""
+
     def __init__(self, words: dict[str, int]):
         super().__init__(words)
         self.known, self.limit = words, len(words) + CACHE_WORDS
@@ -97,24 +114,32 @@ class _Ids(dict):
             self.update(self.known)
             if word in self.known:
                 return self.known[word]
-        self[word] = i = KNOWN + zlib.crc32(word.encode("utf-8", "surrogatepass")) % MEMBERS
-        return i
+        self[word] = code = -1 - hash_of(word)
+        return code
+
+    def encoded(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a text's tokens, and the hashes of the rarer ones."""
+        words = tokens_of(text)
+        codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        late = codes < 0
+        hashes = -1 - codes[late]
+        codes[late] = KNOWN + hashes % MEMBERS
+        return codes.astype(np.uint16), hashes
 
 
 def vocabulary(docs: DataFrame) -> Vocabulary:
     """Counts over all documents; the driver gets the top words and one row a bucket."""
     counts = cut_lineage(word_counts(docs))
     top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
-    words = {r.word for r in top}
-    some = docs.sparkSession.createDataFrame([(w,) for w in words] or [("",)], "word string")
-    bucket = F.crc32(F.encode("word", "UTF-8")) % MEMBERS
-    others = counts.join(F.broadcast(some), "word", "left_anti")
-    rest = others.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect()
-    total, kinds = np.zeros(CLASSES * MEMBERS), np.ones(MEMBERS)
-    total[: len(top)] = [r.n for r in top]
+    some = docs.sparkSession.createDataFrame([(r.word,) for r in top] or [("",)], "word string")
+    # At most KNOWN rows.
+    others = counts.join(F.broadcast(some), "word", "left_anti").select(_hash("word").alias("h"), "n")
+    rest = others.groupBy((F.col("h") % MEMBERS).alias("b")).agg(F.sum("n").alias("n")).collect()
+    found = np.zeros(CLASSES * MEMBERS)
+    found[: len(top)] = [r.n for r in top]
     for r in rest:
-        total[KNOWN + r.b], kinds[r.b] = r.n, r.kinds + 1
-    return Vocabulary([r.word for r in top], total, kinds, others.where("n > 1"))
+        found[KNOWN + r.b] = r.n
+    return Vocabulary([r.word for r in top], found, others.where("n > 1"))
 
 
 class Network:
@@ -129,6 +154,7 @@ class Network:
         "embed": (CLASSES * MEMBERS + 1, WIDTH), "side": (2 * SIDE, WIDTH), "dense": (WIDTH, WIDTH), "shift": (WIDTH,),
         "to_class": (CLASSES, WIDTH), "class_bias": (CLASSES,), "to_word": (CLASSES, MEMBERS, WIDTH), "word_bias": (CLASSES, MEMBERS),
     }
+    SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 
     def __init__(self, flat: np.ndarray):
         at = 0
@@ -140,7 +166,7 @@ class Network:
 
     @classmethod
     def start(cls, vocabulary: Vocabulary) -> Network:
-        net = cls(np.zeros(sum(int(np.prod(s)) for s in cls.SHAPES.values()), np.float32))
+        net = cls(np.zeros(cls.SIZE, np.float32))
         rng = np.random.default_rng(7)
         net.embed[:] = rng.normal(0, 0.3, net.embed.shape)
         net.side[:] = 1.0
@@ -150,206 +176,281 @@ class Network:
         net.class_bias[:] = np.log(p.sum(1) / p.sum())
         return net
 
-    def hidden(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        seen = self.embed[context]
-        pooled = (seen * self.side).sum(1)
-        return seen, pooled, np.tanh(pooled @ self.dense + self.shift)
+    def _bounded(self) -> bool:
+        """Whether no output can overflow an exponential: the layer is below one, so weights and biases bound it."""
+        return max(float((np.abs(w).sum(-1) + np.abs(b)).max()) for w, b in ((self.to_class, self.class_bias), (self.to_word, self.word_bias))) < 60
 
     @staticmethod
-    def _log_softmax(z: np.ndarray) -> np.ndarray:
-        z = z - z.max(1, keepdims=True)
-        return z - np.log(np.exp(z).sum(1, keepdims=True))
-
-    @staticmethod
-    def _picked(z: np.ndarray, at: np.ndarray, small: bool) -> np.ndarray:
-        """Log-softmax of each row at one column; ``small``: no exponential can overflow as it is."""
-        if not small:
+    def _exp(z: np.ndarray, bounded: bool) -> tuple[np.ndarray, np.ndarray]:
+        """``z`` turned to exponentials in place, and the sum of each row."""
+        if not bounded:
             z -= z.max(1, keepdims=True)
-        picked = z[np.arange(len(z)), at]
         np.exp(z, out=z)
-        return picked - np.log(z.sum(1))
+        return z, z @ np.ones(z.shape[1], z.dtype)
 
     def tables(self) -> list[np.ndarray]:
         """For each place beside the target what every token adds to the layer's input."""
         return [(self.embed * w) @ self.dense for w in self.side]
 
-    def log_probability(self, context: np.ndarray, target: np.ndarray, tables: list[np.ndarray] | None = None) -> np.ndarray:
-        """Log-probability of each target id between its context ids."""
-        h = sum(t.take(c, 0) for t, c in zip(tables or self.tables(), context.T, strict=True))
+    def log_probability(self, context: np.ndarray, target: np.ndarray, tables: list[np.ndarray] | None = None, bounded: bool | None = None) -> np.ndarray:
+        """Log-probability of each target id between its context ids, a column for each place."""
+        order, cuts, target = self._by_class(target)
+        h = None
+        for t, column in zip(tables or self.tables(), context.T, strict=True):
+            x = t.take(column[order], 0)
+            h = x if h is None else np.add(h, x, out=h)
         h += self.shift
         np.tanh(h, out=h)
-        group, member = target // MEMBERS, target % MEMBERS
-        order = np.argsort(group, kind="stable")
-        h, group, member = h[order], group[order], member[order]
-        # |h| is below one, so weights and biases bound every output.
-        small = max(float((np.abs(w).sum(-1) + np.abs(b)).max()) for w, b in ((self.to_class, self.class_bias), (self.to_word, self.word_bias))) < 60
-        found = self._picked(h @ self.to_class.T + self.class_bias, group, small)
-        cuts = np.searchsorted(group, np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            rows = slice(cuts[c], cuts[c + 1])
-            if cuts[c + 1] > cuts[c]:
-                found[rows] += self._picked(h[rows] @ self.to_word[c].T + self.word_bias[c], member[rows], small)
+        bounded = self._bounded() if bounded is None else bounded
+        rows, group, member = np.arange(len(target)), target // MEMBERS, target % MEMBERS
+        z = h @ self.to_class.T
+        z += self.class_bias
+        found = np.zeros(len(target), z.dtype)
+        for picked in (group, member):
+            if not bounded:
+                z -= z.max(1, keepdims=True)
+            found += z[rows, picked]
+            z, sums = self._exp(z, True)
+            found -= np.log(sums)
+            if picked is group:
+                self._to_words(h, cuts, z)
         out = np.empty_like(found)
         out[order] = found
         return out
 
-    def gradient(self, context: np.ndarray, target: np.ndarray) -> Network:
-        """Gradient of the mean negative log-likelihood."""
-        g = Network(np.zeros_like(self.flat))
-        n = len(target)
-        seen, pooled, h = self.hidden(context)
-        group, member = target // MEMBERS, target % MEMBERS
-        d = np.exp(self._log_softmax(h @ self.to_class.T + self.class_bias))
-        d[np.arange(n), group] -= 1
-        d /= n
-        g.to_class[:], g.class_bias[:] = d.T @ h, d.sum(0)
-        back = d @ self.to_class
+    @staticmethod
+    def _by_class(target: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray]:
+        """An order by class, where each class begins in it, and the targets so ordered."""
+        group = (target // MEMBERS).astype(np.uint8)
         order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
+        return order, np.searchsorted(group[order], np.arange(CLASSES + 1)).tolist(), target[order]
+
+    def _to_words(self, h: np.ndarray, cuts: list[int], out: np.ndarray) -> None:
+        """Outputs of the words of each row's class."""
         for c in range(CLASSES):
-            rows = order[cuts[c] : cuts[c + 1]]
-            if len(rows):
-                d = np.exp(self._log_softmax(h[rows] @ self.to_word[c].T + self.word_bias[c]))
-                d[np.arange(len(rows)), member[rows]] -= 1
-                d /= n
-                g.to_word[c], g.word_bias[c] = d.T @ h[rows], d.sum(0)
-                back[rows] += d @ self.to_word[c]
-        back *= 1 - h * h
-        g.dense[:], g.shift[:] = pooled.T @ back, back.sum(0)
-        back = back @ self.dense.T
-        g.side[:] = (seen * back[:, None, :]).sum(0)
-        tokens = context.ravel()
-        order = np.argsort(tokens, kind="stable")
-        first = np.flatnonzero(np.diff(tokens[order], prepend=-1))
-        g.embed[tokens[order][first]] = np.add.reduceat((back[:, None, :] * self.side).reshape(-1, WIDTH)[order], first, axis=0)
+            a, b = cuts[c], cuts[c + 1]
+            if b > a:
+                np.matmul(h[a:b], self.to_word[c].T, out=out[a:b])
+                out[a:b] += self.word_bias[c]
+
+    def gradient(self, context: np.ndarray, target: np.ndarray, out: Network | None = None) -> Network:
+        """Gradient of the mean negative log-likelihood, written over ``out``, which keeps its working arrays."""
+        g = out or Network(np.zeros_like(self.flat))
+        n, kind = len(target), self.flat.dtype.type
+        work: dict[str, np.ndarray] = g.__dict__.setdefault("work", {})
+
+        def room(name: str, width: int) -> np.ndarray:
+            if name not in work or len(work[name]) < n:
+                work[name] = np.empty((n, width), kind)
+            return work[name][:n]
+
+        order, cuts, target = self._by_class(target)
+        columns = [c[order].astype(np.int64) for c in context.T]
+        pooled, h, back, x, d = (room(*r) for r in (("pooled", WIDTH), ("h", WIDTH), ("back", WIDTH), ("x", WIDTH), ("d", MEMBERS)))
+        for k, (w, c) in enumerate(zip(self.side, columns, strict=True)):
+            self.embed.take(c, 0, out=x, mode="clip")
+            x *= w
+            np.add(pooled, x, out=pooled) if k else np.copyto(pooled, x)
+        np.matmul(pooled, self.dense, out=h)
+        h += self.shift
+        np.tanh(h, out=h)
+        bounded, rows = self._bounded(), np.arange(n)
+
+        def to_error(at: np.ndarray) -> None:
+            """Turns outputs into what the loss changes by with each."""
+            _, sums = self._exp(d, bounded)
+            np.multiply(d, (kind(1 / n) / sums)[:, None], out=d)
+            d[rows, at] -= kind(1 / n)
+
+        np.matmul(h, self.to_class.T, out=d)
+        np.add(d, self.class_bias, out=d)
+        to_error(target // MEMBERS)
+        np.matmul(d.T, h, out=g.to_class)
+        np.matmul(np.ones(n, kind), d, out=g.class_bias)
+        np.matmul(d, self.to_class, out=back)
+        self._to_words(h, cuts, d)
+        to_error(target % MEMBERS)
+        for c in range(CLASSES):
+            a, b = cuts[c], cuts[c + 1]
+            np.matmul(d[a:b].T, h[a:b], out=g.to_word[c])
+            d[a:b].sum(0, out=g.word_bias[c])
+            if b > a:
+                np.matmul(d[a:b], self.to_word[c], out=x[a:b])
+        back += x
+        h *= h
+        back *= np.subtract(1, h, out=h)
+        np.matmul(pooled.T, back, out=g.dense)
+        np.matmul(np.ones(n, kind), back, out=g.shift)
+        arriving = self.dense @ back.T
+        g.embed[:] = 0
+        seen = work.setdefault("seen", np.empty(self.embed.shape, kind))
+        for k, c in enumerate(columns):
+            # By width: what arrives at each token from this place.
+            for j in range(WIDTH):
+                seen[:, j] = np.bincount(c, arriving[j], len(seen))
+            np.einsum("ij,ij->j", self.embed, seen, out=g.side[k])
+            seen *= self.side[k]
+            g.embed += seen
         return g
 
 
-def windows(ids: np.ndarray) -> np.ndarray:
-    """For each token the ids of SIDE tokens before and after it, padded at the ends."""
-    padded = np.concatenate([np.full(SIDE, PAD), ids, np.full(SIDE, PAD)])
-    around = np.array([i for i in range(2 * SIDE + 1) if i != SIDE])
-    return padded[np.arange(len(ids))[:, None] + around]
+class Adagrad:
+    def __init__(self, flat: np.ndarray):
+        self.net, self.squares = Network(flat), np.full_like(flat, 1e-3)
+        self.gradient, self.held = Network(np.zeros_like(flat)), np.empty_like(flat)
 
+    def step(self, context: np.ndarray, target: np.ndarray) -> None:
+        g, x = self.net.gradient(context, target, self.gradient).flat, self.held
+        np.multiply(g, g, out=x)
+        self.squares += x
+        np.sqrt(self.squares, out=x)
+        np.divide(g, x, out=x)
+        x *= x.dtype.type(RATE)
+        self.net.flat -= x
 
-def _train(vocab: Vocabulary, flat: np.ndarray):
-    """Adagrad over a task's own documents, from the common parameters; one row: their sum weighted by targets."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, net, squares = vocab.ids(), Network(flat.copy()), np.full_like(flat, 1e-3)
-        contexts: list[np.ndarray] = []
-        targets: list[np.ndarray] = []
-        held = total = 0
+def in_line(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of several texts in one array, padded before, between and after them, and where the tokens lie."""
+    pad = np.full(SIDE, PAD, np.uint16)
+    line = np.concatenate([x for t in texts for x in (pad, t)] + [pad])
+    return line, np.flatnonzero(line != PAD)
+
+
+def windows(line: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each place in a line the ids of SIDE tokens before and after it."""
+    return np.stack([line[at + k] for k in AROUND]).T
+
 
-        def step(context: np.ndarray, target: np.ndarray) -> None:
-            g = net.gradient(context, target).flat
-            np.add(squares, g * g, out=squares)
-            np.subtract(net.flat, RATE * g / np.sqrt(squares), out=net.flat)
+#: Rows of ``encode`` as tasks make them.
+CODED = "doc_id long, n_tokens long, ids binary, late array<long>"
 
+
+def encode(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """(row, phase, doc_id, n_tokens, ids, late) of every row, written: token ids as little-endian uint16, hashes of rarer words."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = vocab.ids()
         for batch in batches:
-            for t in batch.column(0):
-                words = tokens_of(t.as_py())
-                if not words:
-                    continue
-                own = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-                contexts.append(windows(own))
-                targets.append(own)
-                held += len(own)
-                if held >= 16 * BATCH:
-                    context, target = np.concatenate(contexts), np.concatenate(targets)
-                    shuffled = np.random.default_rng(total).permutation(len(target))
-                    for k in range(0, len(target), BATCH):
-                        step(context[shuffled[k : k + BATCH]], target[shuffled[k : k + BATCH]])
-                    total, held, contexts, targets = total + held, 0, [], []
-        if held:
-            context, target = np.concatenate(contexts), np.concatenate(targets)
-            for k in range(0, held, BATCH):
-                step(context[k : k + BATCH], target[k : k + BATCH])
-            total += held
-        yield _row(TaskContext.get().partitionId(), float(total), net.flat.astype(np.float64) * total)
+            found = [ids.encoded(t.as_py()) for t in batch.column(1)]
+            ends = np.cumsum([0, *(len(h) for _, h in found)])
+            late = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([h for _, h in found]) if found else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(i) for i, _ in found], pa.int64()), pa.array([i.astype("<u2").tobytes() for i, _ in found], pa.binary()), late], ["doc_id", "n_tokens", "ids", "late"])
 
-    return run
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, CODED)
+    phase = F.pmod(F.xxhash64("ids"), F.lit(PHASES)).cast("int")
+    return written(rows.withColumns({"row": F.monotonically_increasing_id(), "phase": phase}))
 
 
-def _row(key: int, weight: float, total: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([weight], pa.float64()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["key", "weight", "params"])
+def _ids_of(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), "<u2") for x in column]
 
 
-def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    weight, total = 0.0, None
-    for batch in batches:
-        for w, p in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-            x = np.frombuffer(p.as_py(), np.float32).astype(np.float64)
-            weight, total = weight + w, x if total is None else total + x
-    if total is not None:
-        yield _row(TaskContext.get().partitionId(), weight, total)
+def _train(flat: np.ndarray):
+    """Adagrad over a task's own documents, from the common parameters; their sum weighted by targets, and the weight."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, trained = Adagrad(flat.copy()), 0
+        held: list[np.ndarray] = []
+        size = 0
+
+        def step() -> None:
+            nonlocal held, size, trained
+            line, at = in_line(held)
+            # Batches take turns over the line, so that each mixes many texts.
+            turns = max(1, -(-len(at) // BATCH))
+            for k in range(turns):
+                own = at[k::turns]
+                model.step(windows(line, own), line[own])
+            trained += len(at)
+            held, size = [], 0
 
-_PARAMS = "key long, weight double, params binary"
+        for batch in batches:
+            for ids in _ids_of(batch.column(0)):
+                for k in range(0, len(ids), MIXED * BATCH):
+                    some = ids[k : k + MIXED * BATCH]
+                    held.append(some)
+                    size += len(some)
+                    if size >= MIXED * BATCH:
+                        step()
+        if size:
+            step()
+        yield partial(np.append(model.net.flat.astype(np.float64) * trained, trained))
 
+    return run
 
-def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Network]:
-    """Vocabulary and network of all documents.
 
-    In every round each task goes over its own documents from the common
-    parameters; the results are averaged by their targets over a tree of tasks,
-    so that neither a task nor the driver holds more than a few of them.
+def train_on(coded: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Network:
+    """The network of all rows of ``encode``.
+
+    In every phase each task goes over its own documents of that phase, from the
+    common parameters; the results are averaged by their targets over a tree of
+    tasks, so that neither a task nor the driver holds more than a few of them.
     """
-    spark = docs.sparkSession
-    vocab = vocabulary(docs)
     net = Network.start(vocab)
-    texts = docs.select(F.col("text").cast("string"))
-    for _ in range(rounds):
-        small_batches(spark)
-        sums = texts.mapInArrow(_train(vocab, net.flat), _PARAMS)
-        spread = texts.rdd.getNumPartitions()
-        sums = cut_lineage(sums)
-        while spread > FAN_IN:
-            spread = -(-spread // FAN_IN)
-            sums = cut_lineage(sums.withColumn("group", F.col("key") % spread).repartition(spread, "group").select("key", "weight", "params").mapInArrow(_sum, _PARAMS))
-        rows = sums.collect()
-        weight = sum(r.weight for r in rows)
-        if weight:
-            net = Network((sum(np.frombuffer(r.params, np.float32).astype(np.float64) for r in rows) / weight).astype(np.float32))
-    return vocab, net
-
-
-def score_texts(texts: list[str | None], ids: _Ids, vocab: Vocabulary, net: Network, late_words: list[list[str]] | None = None) -> list[tuple[int, float]]:
-    """(tokens, summed log-probability) of each text.
-
-    Rarer words share their bucket evenly. With ``late_words`` each of them counts
-    as one occurrence of all in its bucket and one more, and is added to that list
-    by text, for its own count to be brought in.
-    """
-    out = []
-    rare, tables = np.log(vocab.rare if late_words is None else vocab.counts[KNOWN:] + 1), net.tables()
+    for k in range(rounds * PHASES):
+        sums = total(coded.where(F.col("phase") == k % PHASES).select("ids").mapInArrow(_train(net.flat), PARTIAL))
+        if sums is not None and sums[-1]:
+            net = Network((sums[:-1] / sums[-1]).astype(np.float32))
+    return net
+
+
+def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Network]:
+    """Vocabulary and network of all documents."""
+    vocab = vocabulary(docs)
+    return vocab, train_on(encode(docs, vocab), vocab, rounds)
+
+
+def score_ids(texts: list[np.ndarray], vocab: Vocabulary, net: Network) -> list[float]:
+    """Summed log-probability of each text's ids; each rarer word as one occurrence of all in its bucket and one more."""
+    rare, tables, bounded = np.log(vocab.counts[KNOWN:] + 1), net.tables(), net._bounded()
+    out: list[float] = []
     held: list[np.ndarray] = []
 
     def flush() -> None:
-        if held:
-            context, target = np.concatenate([windows(x) for x in held]), np.concatenate(held)
-            logp = np.concatenate([net.log_probability(context[k : k + SCORED], target[k : k + SCORED], tables) for k in range(0, len(target), SCORED)]) if len(target) else np.zeros(0)
-            late = target >= KNOWN
-            logp[late] -= rare[target[late] - KNOWN]
-            ends = np.cumsum([len(x) for x in held])
-            sums = np.concatenate([[0.0], np.cumsum(logp, dtype=np.float64)])
-            out.extend((len(x), float(sums[e] - sums[e - len(x)])) for x, e in zip(held, ends, strict=True))
-            held.clear()
-
-    tokens = 0
-    for t in texts:
-        words = tokens_of(t)
-        held.append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)))
-        if late_words is not None:
-            late_words.append([words[i] for i in np.flatnonzero(held[-1] >= KNOWN).tolist()])
-        tokens += len(words)
-        if tokens >= 8 * SCORED:
+        line, at = in_line(held)
+        logp = np.zeros(len(at))
+        for k in range(0, len(at), SCORED):
+            own = at[k : k + SCORED]
+            logp[k : k + SCORED] = net.log_probability(windows(line, own), line[own], tables, bounded)
+        target = line[at].astype(np.int64)
+        late = target >= KNOWN
+        logp[late] -= rare[target[late] - KNOWN]
+        sums = np.concatenate([[0.0], np.cumsum(logp)])
+        ends = np.cumsum([len(x) for x in held])
+        out.extend((sums[ends] - sums[ends - [len(x) for x in held]]).tolist())
+        held.clear()
+
+    size = 0
+    for x in texts:
+        held.append(x)
+        size += len(x)
+        if size >= 8 * SCORED:
             flush()
-            tokens = 0
-    flush()
+            size = 0
+    if held:
+        flush()
     return out
 
 
+def score_on(coded: DataFrame, vocab: Vocabulary, net: Network) -> DataFrame:
+    """``score`` of the rows of ``encode``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = score_ids(_ids_of(batch.column(3)), vocab, net)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.float64())], ["row", "doc_id", "n_tokens", "sum"])
+
+    rows = coded.select("row", "doc_id", "n_tokens", "ids").mapInArrow(run, "row long, doc_id long, n_tokens long, sum double")
+    late = coded.select("row", F.explode("late").alias("h"))
+    log = vocab.table.select("h", F.round(F.log("n") * LOG_UNIT).cast("long").alias("log"))
+    # The counts' partitions are far smaller than the tokens', which needn't be sorted.
+    more = late.join(dealt_anew(log, "log", "h").hint("shuffle_hash"), "h").groupBy("row").agg((F.sum("log") / LOG_UNIT).alias("more"))
+    found = rows.join(more, "row", "left").withColumn("log_likelihood", F.col("sum") + F.coalesce("more", F.lit(0.0)))
+    per = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
+    return found.select("doc_id", "n_tokens", "log_likelihood", per.alias("per_token"))
+
+
 def score(docs: DataFrame, vocab: Vocabulary, net: Network) -> DataFrame:
     """doc_id, n_tokens, log_likelihood, per_token of every row.
 
@@ -360,27 +461,11 @@ def score(docs: DataFrame, vocab: Vocabulary, net: Network) -> DataFrame:
     scored each; null doc_ids stay null; other columns are ignored. No rows in,
     none out.
     """
-    small_batches(docs.sparkSession)
-    even = vocab.table is None
+    return score_on(encode(docs, vocab), vocab, net)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = vocab.ids()
-        for batch in batches:
-            late: list[list[str]] = []
-            found = score_texts(batch.column(1).to_pylist(), ids, vocab, net, None if even else late)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([x for _, x in found], pa.float64()), pa.array([[]] * len(found) if even else late, pa.list_(pa.string()))],
-                ["doc_id", "n_tokens", "log_likelihood", "late"],
-            )
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, late array<string>")
-    if not even:
-        rows = written(rows.withColumn("row", F.monotonically_increasing_id()))
-        words = rows.select("row", F.explode("late").alias("word"))
-        # Decimals, so that sums don't depend on their order.
-        log = F.log("n").cast("decimal(18,12)")
-        more = words.join(dealt_anew(vocab.table.select("word", "n"), "n", "word"), "word").groupBy("row").agg(F.sum(log).cast("double").alias("more"))
-        rows = rows.select("row", "doc_id", "n_tokens", "log_likelihood").join(more, "row", "left")
-        rows = rows.withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("more", F.lit(0.0)))
-    per = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
-    return rows.select("doc_id", "n_tokens", "log_likelihood", per.alias("per_token"))
+
+def model_and_score(docs: DataFrame) -> DataFrame:
+    """``score`` of ``docs`` by the network of the same documents, whose texts are read twice only: to count and to encode."""
+    vocab = vocabulary(docs)
+    coded = encode(docs, vocab)
+    return score_on(coded, vocab, train_on(coded, vocab))

@@ -44,10 +44,9 @@ def op4_benchmark_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_masked_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from parchmint.llm.masked_lm import score, train
+    from parchmint.llm.masked_lm import model_and_score
 
-    docs = _table(spark, sf_dir, "documents")
-    return score(docs, *train(docs))
+    return model_and_score(_table(spark, sf_dir, "documents"))
 
 
 def op6_cost_balanced_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
