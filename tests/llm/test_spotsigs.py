@@ -13,20 +13,18 @@ def brute_signatures(text):
     import xxhash
 
     words = re.findall(r"[^\W_]+", (text or "").lower())
-    found = []
+    found, last = [], -spotsigs.GAP
     for i, w in enumerate(words):
-        chain = [x for x in words[i + 1 :] if x not in spotsigs.ANCHORS][: spotsigs.CHAIN]
-        if w in spotsigs.ANCHORS and chain:
-            found.append(" ".join([w, *chain]))
-    if len(found) < spotsigs.FEW:
-        found += [" ".join(words[i : i + 3]) for i in range(len(words))]
+        if w in spotsigs.ANCHORS or i - last == spotsigs.GAP:
+            last = i
+            found.append(f"{w} {' '.join([x for x in words[i + 1 :] if x not in spotsigs.ANCHORS][: spotsigs.CHAIN])}")
     return sorted({xxhash.xxh32_intdigest(x) for x in found})
 
 
 def texts(n=40, seed=1):
     rng = random.Random(seed)
     words = ["the", "a", "of", *(f"w{k}" for k in range(30))]
-    return [" ".join(rng.choices(words, k=rng.randrange(200))) for _ in range(n)] + [None, "", "the", "Ünï_cödé 😀 the x"]
+    return [" ".join(rng.choices(words, k=rng.randrange(200))) for _ in range(n)] + [None, "", "the", "Ünï_cödé 😀 the x", " ".join(f"v{k}" for k in range(30)), "the " * 20]
 
 
 def test_signatures():
@@ -58,15 +56,33 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("n", [1, 2, 44])
-def test_stability(make, n):
-    rows = list(zip(random.Random(2).sample(range(-50, 1000), 44), texts(), strict=True))[:n]
-    assert sorted(tuple(r) for r in spotsigs.stability(make(rows)).collect()) == brute(rows)
+@pytest.mark.parametrize("n", [1, 2, 46])
+def test_edited_and_next(make, n):
+    rows = list(zip(random.Random(2).sample(range(-50, 1000), 46), texts(), strict=True))[:n]
+    assert sorted(tuple(r)[:7] for r in spotsigs.near_duplicates(make(rows)).collect()) == brute(rows)
+
+
+def test_hot_doc_ids(make, spark):
+    """One doc_id and the null one hold two thirds of the rows: they get several ranges, and each text one next."""
+    rows = [(k, f"the plain w{k}") for k in range(100)] + [(50, f"the same id x{k}") for k in range(150)] + [(None, f"the id is null {k}") for k in range(150)]
+    docs = make(rows).repartition(4)
+    got = spotsigs.near_duplicates(docs).collect()
+    assert len(got) == 400
+    ids = spotsigs._sets(docs).select("doc_id", "version", "id")
+    parts = spotsigs.Parts(ids, 32)
+    from pyspark.sql import functions as F
+
+    sizes = {r.p: r["count"] for r in ids.select(parts.of(F.col("doc_id"), F.col("version")).alias("p")).groupBy("p").count().collect()}
+    assert len(sizes) > 20 and max(sizes.values()) < 60
+    # Each edited text holds the start of the next text in the order of doc_id and version.
+    order = sorted(((r.doc_id is None, r.doc_id or 0, r.version), r.text) for r in spotsigs._plain(docs).collect())
+    want = sorted(hashlib.sha256((t[: len(t) - len(t) // 2] + order[(k + 1) % 400][1][: len(t) // 2]).encode()).hexdigest() for k, (_, t) in enumerate(order))
+    assert sorted(r.edited_sha256 for r in got) == want
 
 
 def test_odd_rows(odd, none):
-    got = spotsigs.stability(odd).collect()
-    assert len(got) == 10 and spotsigs.stability(none).collect() == []
+    got = spotsigs.near_duplicates(odd).collect()
+    assert len(got) == 10 and spotsigs.near_duplicates(none).collect() == []
     assert all(r.fingerprint == "" and r.n_chars in (0, 4) for r in got if r.doc_id in (2, 3, 4))
     equal = {}
     for r in got:
@@ -75,7 +91,7 @@ def test_odd_rows(odd, none):
     assert {r.n_chars for r in spotsigs.fingerprints(odd).collect()} == {r.n_chars for r in got}
 
 
-def test_near_duplicates_anywhere(make, odd, none):
+def test_near_duplicates_anywhere(make, monkeypatch):
     """Near-copies far apart, of several lengths, hot sets and equal ones, against all pairs."""
     rng = random.Random(3)
     base = [" ".join(rng.choices(["the", "a", "of", *(f"w{k}" for k in range(400))], k=rng.choice([3, 12, 60, 300]))) for _ in range(60)]
@@ -94,4 +110,9 @@ def test_near_duplicates_anywhere(make, odd, none):
     assert {i: (r.n_near, r.first_near) for i, r in got.items()} == {i: (len(x), min([i, *x])) for i, x in want.items()}
     assert sum(any(abs(i - j) > 1 for j in x) for i, x in want.items()) > 60
     assert sorted(tuple(r)[:7] for r in got.values()) == brute(rows)
-    assert len(spotsigs.near_duplicates(odd).collect()) == 10 and spotsigs.near_duplicates(none).collect() == []
+    # Small parts and small matrices: the same.
+    monkeypatch.setattr(spotsigs, "MATRIX_CELLS", 64)
+    sets = spotsigs._sets(make(rows))
+    ids = {r.doc_id: r.id for r in sets.collect()}
+    found = {r.id: (r.n_near, r.first_near) for r in spotsigs.near_sets(sets, split=3).collect()}
+    assert {i: found.get(ids[i], (0, i)) for i in want} == {i: (len(x), min([i, *x])) for i, x in want.items()}
