@@ -33,6 +33,8 @@ MAP_BITS = 26
 BACK = 4
 #: Members of a group above which it is joined part by part, and cells of a matrix.
 SPLIT, MATRIX_CELLS = 1024, 1 << 22
+#: Groups up to this size are looked through many at once.
+SMALL = 32
 _WORDS = re.compile(r"[^\W_]+")
 
 # Common words of the languages at hand, the anchors.
@@ -339,23 +341,29 @@ def _index(sets: DataFrame, often: np.ndarray, bits: np.ndarray, threshold: floa
     return sets.select("id", "sigs").mapInArrow(run, _INDEX).distinct()
 
 
-def _may_meet(n: np.ndarray, at: np.ndarray, back: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
-    """Which members of ``left`` and of ``right`` of one group may be alike and meet here first.
-
-    Lengths bound the likeness of two sets, as do what follows the shared
-    signature in both; a signature before it that both have was met earlier.
-    """
-    n1, n2 = n[left][:, None], n[right][None]
+def _lengths_and_places(n: np.ndarray, at: np.ndarray, back: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether rows x and y of a group may be alike: lengths bound that, as does what follows the shared signature."""
+    n1, n2 = n[x], n[y]
     ok = np.minimum(n1, n2) >= threshold * np.maximum(n1, n2) - 1e-9
-    ok &= np.minimum(n1 - at[left][:, None], n2 - at[right][None]) >= threshold / (1 + threshold) * (n1 + n2) - 1e-9
+    return ok & (np.minimum(n1 - at[x], n2 - at[y]) >= threshold / (1 + threshold) * (n1 + n2) - 1e-9)
+
+
+def _first_here(n: np.ndarray, at: np.ndarray, back: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether rows x and y meet here first, for all that ``back`` tells; false where a signature before is in both."""
+    ok = np.ones(np.broadcast(x, y).shape, bool)
     for a in range(BACK):
         for b in range(BACK):
-            met = back[left, a][:, None] == back[right, b][None]
             # Places before a set's first signature are none.
-            ok &= ~(met & (at[left] >= BACK - a)[:, None] & (at[right] >= BACK - b)[None])
+            ok &= ~((back[x, a] == back[y, b]) & (at[x] >= BACK - a) & (at[y] >= BACK - b))
     return ok
 
 
+def _may_meet(n: np.ndarray, at: np.ndarray, back: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """Which members of ``left`` and of ``right`` of one group may be alike and meet here first."""
+    x, y = left[:, None], right[None]
+    return _lengths_and_places(n, at, back, x, y, threshold) & _first_here(n, at, back, x, y, threshold)
+
+
 def _blocks(n: np.ndarray, i: int, j: int, sub: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The members of a group by length class: each class with itself and with the next one."""
     classes = np.array([length_class(int(x), threshold) for x in n])
@@ -370,32 +378,51 @@ def _blocks(n: np.ndarray, i: int, j: int, sub: np.ndarray, threshold: float) ->
                 yield b, parts[c + 1][0]
 
 
-def _groups(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
-    """``work`` of each group of rows with one (sig, i, j), which come one after the other."""
+def _groups(batches: Iterator[pa.RecordBatch], work, small=None) -> Iterator[pa.RecordBatch]:
+    """``work`` of each group of rows with one (sig, i, j), which come one after the other.
+
+    With ``small``, groups of at most SMALL rows of one signature are handed to it
+    many at once, with their bounds.
+    """
     held: list[pa.RecordBatch] = []
-    last = None
 
     def keys(batch: pa.RecordBatch) -> np.ndarray:
         return np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("sig", "i", "j")], 1)
 
+    def whole(batch: pa.RecordBatch, k: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        few = (np.diff(starts) <= SMALL) & (k[starts[:-1], 1] == k[starts[:-1], 2]) if small else np.zeros(len(starts) - 1, bool)
+        if few.any():
+            yield from small(batch, starts[:-1][few], starts[1:][few])
+        for a, b in zip(starts[:-1][~few].tolist(), starts[1:][~few].tolist(), strict=True):
+            yield from work(pa.Table.from_batches([batch.slice(a, b - a)]))
+
     for batch in batches:
         if not batch.num_rows:
             continue
         k = keys(batch)
-        starts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), len(k)]
-        for a, b in zip(starts, starts[1:], strict=False):
-            if held and tuple(k[a]) != last:
-                yield from work(pa.Table.from_batches(held))
-                held = []
-            last = tuple(k[a])
-            held.append(batch.slice(a, b - a))
+        starts = np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1, [len(k)]])
+        if held and (keys(held[-1].slice(held[-1].num_rows - 1))[0] == k[0]).all():
+            held.append(batch.slice(0, starts[1]))
+            starts = starts[1:]
+        if len(starts) > 1 and held:
+            yield from work(pa.Table.from_batches(held))
+            held = []
+        if len(starts) > 2:
+            yield from whole(batch, k, starts[:-1])
+        if len(starts) > 1:
+            held = [batch.slice(starts[-2])]
     if held:
         yield from work(pa.Table.from_batches(held))
 
 
+def _bounds_of(group: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, at = (group.column(c).to_numpy().astype(np.int64) for c in ("n", "at"))
+    return n, at, np.frombuffer(b"".join(group.column("back").to_pylist()), np.uint32).reshape(-1, BACK)
+
+
 def _group_columns(group: pa.Table) -> tuple:
-    n, at, sub = (group.column(c).to_numpy().astype(np.int64) for c in ("n", "at", "sub"))
-    back = np.frombuffer(b"".join(group.column("back").to_pylist()), np.uint32).reshape(-1, BACK)
+    n, at, back = _bounds_of(group)
+    sub = group.column("sub").to_numpy()
     return n, at, sub, back, group.column("i")[0].as_py(), group.column("j")[0].as_py()
 
 
@@ -432,7 +459,23 @@ def _candidates(dealt: DataFrame, threshold: float) -> DataFrame:
         if wanted.any():
             yield from group.filter(pa.array(wanted)).to_batches()
 
-    return dealt.mapInArrow(lambda batches: _groups(batches, work), _GROUPED)
+    def small(batch: pa.RecordBatch, starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n, at, back = _bounds_of(batch)
+        # Each row with those before it in its group.
+        sizes = ends - starts
+        rank = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        row = np.repeat(starts, sizes) + rank
+        x = np.repeat(row, rank)
+        y = x - 1 - (np.arange(len(x)) - np.repeat(np.cumsum(rank) - rank, rank))
+        for step in (_lengths_and_places, _first_here):
+            ok = step(n, at, back, x, y, threshold)
+            x, y = x[ok], y[ok]
+        wanted = np.zeros(len(n), bool)
+        wanted[x] = wanted[y] = True
+        if wanted.any():
+            yield batch.filter(pa.array(wanted))
+
+    return dealt.mapInArrow(lambda batches: _groups(batches, work, small), _GROUPED)
 
 
 def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, ok: np.ndarray, need: np.ndarray) -> np.ndarray:
