@@ -17,17 +17,41 @@ def model():
 @pytest.mark.parametrize(
     ("token", "word"),
     [("1d1ot", "idiot"), ("m0r0n", "moron"), ("tr@sh", "trash"), ("stuuuupid", "stupid"), ("l0s3r", "loser"), ("i.d.i.o.t", "idiot"), ("cl0wn!!!", "clown"), ("p4th3t1c", "pathetic"),
-     ("hello", "hello"), ("letter", "letter"), ("2024", "2024"), ("noon", "noon"), ("%%%", ""), ("athe***", "athe")],
+     ("hello", "hello"), ("letter", "letter"), ("noon", "noon"), ("%%%", ""), ("athe***", "athe"), ("5tup1d", "stupid"), ("7#3", "the")],
 )
 def test_restore_word(model, token, word):
     assert toxicity.restore_word(token, model) == word
 
 
 def test_restore_text(model):
-    assert toxicity.restore("You I D I O T, and 5cum\n", model) == "you idiot and scum"
+    assert toxicity.restore("Hello I D I O T, and 5cum\n", model) == "hello idiot and scum"
     assert toxicity.restore(None, model) == toxicity.restore("  ", model) == ""
 
 
+def test_spacing_is_decoded(model):
+    """Blanks within words are dropped by the lattice, wherever they stand; between words they stay."""
+    assert toxicity.restore("st upid stu pid", model) == "stupid stupid"
+    assert toxicity.restore("the s t u p i d world", model) == "the stupid world"
+    assert toxicity.restore("hello the letter and world", model) == "hello the letter and world"
+    assert "stupid" in model.decode("s 7 u p 1 d").split()
+
+
+def test_signs_alone_and_at_the_edges(model):
+    """Tokens without any plain letter, and signs that stand for a word's first or last letter."""
+    assert "the" in toxicity.readings("7#3", model) and "idiot" in toxicity.readings("1d107", model)
+    assert {"trash", "rash"} & set(toxicity.readings("+rash", model)) == {"trash", "rash"}
+    assert toxicity.readings("(clown)", model)[0] == "clown" and toxicity.readings("world.", model) == ("world",)
+
+
+def test_very_long_tokens(model):
+    import time
+
+    began = time.time()
+    for token in ("stuuupid" * 60_000, "1d10t" * 40_000, "a " * 100_000):
+        assert len(model.decode(token)) >= 100_000
+    assert time.time() - began < 60
+
+
 def test_decode_is_the_best_path(model):
     """Viterbi against all paths of short lattices."""
     rng = random.Random(1)
@@ -41,7 +65,9 @@ def test_decode_is_the_best_path(model):
                 runs.append([c, 1])
         found = [("", 0.0)]
         for c, n in runs:
-            if c in toxicity.LEET:
+            if c == " ":
+                options = [(" ", 0.0), ("", toxicity.SPACED)]
+            elif c in toxicity.LEET:
                 options = [(x * k, toxicity.SUBSTITUTED * n + (0 if k == n else toxicity.HELD)) for x in toxicity.LEET[c] for k in {1, min(n, 2)}] + [("", toxicity.INSERTED * n), (c * n, 0.0)]
             elif not c.isalnum():
                 options = [("", toxicity.INSERTED / 2), (c * n, 0.0)]
@@ -54,12 +80,12 @@ def test_decode_is_the_best_path(model):
         x = y = 0
         for d in text:
             z = toxicity.symbol(d)
-            cost += model.logp[x][y][z] if z else toxicity.KEPT
+            cost += model.logp[x][y][z] if z or d == " " else toxicity.KEPT
             x, y = y, z
         return cost + model.logp[x][y][0]
 
     for _ in range(150):
-        token = "".join(rng.choices("idotmrn10@3s$5*", k=rng.randrange(1, 7)))
+        token = "".join(rng.choices("idotmrn10@3s$5* ", k=rng.randrange(1, 7)))
         best = max(score(t, c) for t, c in paths(token))
         got = model.decode(token)
         assert max(score(t, c) for t, c in paths(token) if t == got) == pytest.approx(best)
@@ -109,6 +135,42 @@ def test_held_out_accuracy_and_odd_rows(spark, make, odd, none):
     assert toxicity.train(none, labels).weights == {}
 
 
+def test_evidence_against_brute_force(spark, make):
+    """Counts by fold, weights and features against sets of every text's sequences."""
+    import math
+
+    rows = corpus(150)
+    docs = make([(i, t) for i, t, _ in rows] + [(1000, rows[1][1]), (7, "another text under a labelled id")])
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(1000, 0), (3, 1)], "doc_id long, toxic int")
+    trained = toxicity.train(docs, labels)
+    lm = toxicity.CharModel(trained.counts)
+
+    texts = {}
+    for i, t, y in rows + [(1000, rows[1][1], 0)]:
+        if toxicity.fold(i):
+            texts[t] = max(texts.get(t, 0), y, int(i == 3))
+    if toxicity.fold(7):
+        # One text a doc_id: that of the smaller hash.
+        kept = spark.createDataFrame([(rows[7][1],), ("another text under a labelled id",)], "t string").selectExpr("t", "xxhash64(t) AS k").orderBy("k").first().t
+        if kept != rows[7][1]:
+            texts[kept] = texts.pop(rows[7][1])
+    own = {t: {g for w in t.lower().split() for r in toxicity.readings(w, lm) for g in toxicity.grams(r)} for t in texts}
+    total = [sum(y == c for y in texts.values()) for c in (0, 1)]
+    want = {}
+    for g in set().union(*own.values()):
+        c, t = (sum(g in own[x] and y == k for x, y in texts.items()) for k in (0, 1))
+        w = math.log((t + 0.5) / (total[1] + 1)) - math.log((c + 0.5) / (total[0] + 1)) - 1.64 * math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
+        if t >= toxicity.MIN_TEXTS and w > 0.5:
+            want[g] = w
+    assert want.keys() <= trained.weights.keys() and len(want) > 10
+    assert all(trained.weights[g] == pytest.approx(w) for g, w in want.items())
+    evidence = toxicity.Evidence(lm, trained.weights)
+    for t in list(texts)[:40]:
+        values = [max([trained.weights.get(g, 0.0) for r in toxicity.readings(w, lm) for g in toxicity.grams(r)], default=0.0) for w in t.lower().split()]
+        got = evidence.features(t)
+        assert got[0] >= max(values) - 1e-12 and got[1] >= math.log1p(sum(values)) - 1e-9
+
+
 def test_labels_of_the_held_out_fold_are_never_seen(spark, make):
     rows = corpus(200)
     docs = make([(i, t) for i, t, _ in rows])
