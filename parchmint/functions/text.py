@@ -58,6 +58,15 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w.rlike(r"[\p{L}\p{N}_]"))
 
 
+#: All characters that count as white space.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(text: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.btrim(text, F.lit(WHITE))
+
+
 def manuscript_of(name: Column) -> Column:
     """A manuscript's name up to its first underscore."""
     return F.substring_index(name, "_", 1)
@@ -68,8 +77,8 @@ def error_rate(distance: Column, length: Column, empty_prediction: Column) -> Co
 
 
 def cer(prediction: Column, reference: Column) -> Column:
-    """Character edits over the reference's length; may exceed one."""
-    return error_rate(F.levenshtein(prediction, reference), F.length(reference), F.length(prediction) == 0)
+    """Character edits over the reference's length; may exceed one. Equal texts need no alignment."""
+    return F.when(prediction == reference, 0.0).otherwise(error_rate(F.levenshtein(prediction, reference), F.length(reference), F.length(prediction) == 0))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -12,7 +12,7 @@ THRESHOLD, MIN_LENGTH, DISCORD = 0.6, 5, 0.3
 
 def needs_review(text: Column, confidence: Column, abbreviated: Column, second: Column | None = None, threshold: float = THRESHOLD, min_length: int = MIN_LENGTH) -> Column:
     """Short, unsure, abbreviated and rather unsure, or far from a second transcription."""
-    flag = (F.length(F.btrim(text)) < min_length) | (confidence < threshold) | (abbreviated & (confidence < 1.2 * threshold))
+    flag = (F.length(T.strip(text)) < min_length) | (confidence < threshold) | (abbreviated & (confidence < 1.2 * threshold))
     if second is not None:
         apart = F.levenshtein(text, second) / F.greatest(F.lit(1), F.length(text)) > DISCORD
         flag = flag | F.coalesce(apart, F.lit(False))

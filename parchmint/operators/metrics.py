@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,29 +105,47 @@ def worst_pairs(rates: DataFrame, k: int = 5) -> DataFrame:
     return rates.orderBy(F.desc("cer"), "ordinal").limit(k)
 
 
+#: Draws of the bootstrap are numbers below this prime.
+PRIME = (1 << 31) - 1
+#: A draw's count is the number of these that it reaches: cumulative Poisson(1)
+#: probabilities times the prime; further ones are below one in ten million.
+CUTS = [int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * PRIME) for k in range(10)]
+
+
+def draw_factors(n: int) -> np.ndarray:
+    """(factor, shift) of each resample, from a hash of its number."""
+    number = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:8], 16)
+    return np.array([(1 + number(f"a{r}") % (PRIME - 1), number(f"b{r}") % PRIME) for r in range(n)], np.int64).reshape(-1, 2)
+
+
 def bootstrap(rates: DataFrame, n: int = 1000, alpha: float = 0.05, position: str = "position") -> DataFrame:
     """Percentile intervals of the mean cer by the Poisson bootstrap, for any number of lines.
 
     Each line counts Poisson(1) times in each of ``n`` resamples, by a hash of
-    its position and the resample, so no resample is ever held whole and nothing
-    is joined: a task adds its own lines' weights into the resamples' sums, and
-    only those sums are shuffled.
+    its position that each resample multiplies and shifts modulo a prime. So no
+    resample is ever held whole and nothing is joined: a task multiplies the
+    counts of some lines in all resamples by their rates, and only one row a
+    resample and task is shuffled.
     """
-    u = F.shiftrightunsigned(F.xxhash64(F.col(position), F.col("rep")), 11) / F.lit(float(1 << 53))
-    # Cumulative Poisson(1) probabilities; further ones are below one in ten million.
-    cuts, total = [], 0.0
-    for k in range(10):
-        total += math.exp(-1) / math.factorial(k)
-        cuts.append(total)
-    # Comparisons without branches, so that generated code computes the hash once.
-    times = reduce(lambda n, c: n + (u >= c).cast("int"), cuts, F.lit(0))
-    rows = rates.select("cer", "has_abbreviation", position).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("k", times)
-    f = F.col("has_abbreviation")
-    sums = rows.groupBy("rep").agg(
-        F.try_divide(F.sum(F.col("k") * F.col("cer")), F.sum("k")).alias("overall"),
-        F.try_divide(F.sum(F.when(f, F.col("k") * F.col("cer"))), F.sum(F.when(f, F.col("k")))).alias("abbreviated"),
-        F.try_divide(F.sum(F.when(~f, F.col("k") * F.col("cer"))), F.sum(F.when(~f, F.col("k")))).alias("plain"),
-    )
+    factor, shift = draw_factors(n).T
+    cuts = np.array(CUTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((4, n))
+        for batch in batches:
+            h, cer, flag = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            values = np.stack([np.ones(len(h)), cer, flag, flag * cer])
+            for at in range(0, len(h), 256):
+                draws = (h[at : at + 256, None] * factor + shift) % PRIME
+                sums += values[:, at : at + 256] @ np.searchsorted(cuts, draws, side="right")
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), *map(pa.array, sums)], ["rep", "k", "x", "kf", "xf"])
+
+    h = F.conv(F.substring(F.md5(F.col(position).cast("string")), 1, 8), 16, 10).cast("long") % PRIME
+    rows = rates.select(h.alias("h"), F.coalesce("cer", F.lit(0.0)).alias("cer"), F.col("has_abbreviation").cast("double").alias("f"))
+    rows = rows.mapInArrow(run, "rep long, k double, x double, kf double, xf double").groupBy("rep").agg(*[F.sum(c).alias(c) for c in ("k", "x", "kf", "xf")])
+    mean = lambda x, k: F.try_divide(F.col(x), F.col(k))
+    sums = rows.withColumns({"kp": F.col("k") - F.col("kf"), "xp": F.col("x") - F.col("xf")})
+    sums = sums.select("rep", mean("x", "k").alias("overall"), mean("xf", "kf").alias("abbreviated"), mean("xp", "kp").alias("plain"))
     return intervals(sums.withColumn("delta", F.col("abbreviated") - F.col("plain")), alpha)
 
 

@@ -26,7 +26,7 @@ STOP_WORDS = (
 def kept_entities(raw: Column) -> Column:
     """Entities of the four types, longer than two letters, sure enough and no stop word; scores to four places."""
     kind = lambda e: F.regexp_replace(F.upper(e["entity_group"]), "^[BI]-", "")
-    word = lambda e: F.btrim(e["word"])
+    word = lambda e: T.strip(e["word"])
     good = F.filter(raw, lambda e: kind(e).isin(*TYPES) & (F.length(word(e)) > 2) & (e["score"] >= MIN_SCORE) & ~F.lower(word(e)).isin(*STOP_WORDS))
     return F.transform(good, lambda e: F.struct(word(e).alias("word"), kind(e).alias("type"), F.round(e["score"], 4).alias("score"), e["start"].alias("start"), e["end"].alias("end")))
 

@@ -57,9 +57,9 @@ cut AS (
 ), runs AS (
   SELECT doc_id, source, pos, w, unnest(range(0, (len(w) + 15) // 16)) AS k FROM worded WHERE len(w) > 0
 ), numbered AS (
-  SELECT doc_id, source AS manuscript, pos * 100000 + k AS line_no, array_to_string(list_slice(w, k * 16 + 1, k * 16 + 16), ' ') AS text FROM runs
+  SELECT doc_id, source AS manuscript, pos * 2147483648 + k AS line_no, array_to_string(list_slice(w, k * 16 + 1, k * 16 + 16), ' ') AS text FROM runs
 ), named AS (
-  SELECT *, doc_id * 10000000000 + line_no AS ordinal, manuscript || '_' || doc_id AS image_id, 'd' || doc_id || '_l' || line_no AS line_id FROM numbered
+  SELECT *, doc_id::HUGEINT * 4611686018427387904 + line_no AS ordinal, manuscript || '_' || doc_id AS image_id, 'd' || doc_id || '_l' || line_no AS line_id FROM numbered
 ), hashed AS (
   SELECT *, ('0x' || substr(md5(line_id), 1, 8))::BIGINT AS h, replace(replace(replace(replace(text, 'con', 'ꝯ'), 'per', 'ꝑ'), ' et ', ' ⁊ '), 'que', 'ꝙ') AS base FROM named
 ), referenced AS (

@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from parchmint.functions import text as T
 
@@ -23,23 +25,42 @@ def document_lines(docs: DataFrame, words: int = WORDS_PER_LINE) -> DataFrame:
     """(doc_id, line_no, ordinal, manuscript, image_id, line_id, text): whole texts as lines.
 
     Each text line is cut into runs of ``words`` words, so that no line is too
-    long to align; ordinal keeps the order of the source.
+    long to align. line_no is the text line's number times 2**31, and the run's;
+    ordinal, a decimal, is the doc_id times 2**62, and line_no: both are distinct
+    for any text and any doc_id, and keep the order of the source.
     """
     cut = docs.select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
     cut = cut.withColumn("w", F.filter(F.split("line", " ", -1), lambda w: w != "")).where(F.size("w") > 0)
     runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / words).cast("int")), lambda k: F.array_join(F.slice("w", k * words + 1, F.lit(words)), " "))
     lines = cut.select("doc_id", "source", "at", F.posexplode(runs).alias("k", "text"))
-    number = F.col("at").cast("long") * 100_000 + F.col("k")
+    number = F.col("at").cast("long") * (1 << 31) + F.col("k")
+    ordinal = (F.col("doc_id").cast("decimal(19,0)") * F.lit(Decimal(1 << 62)).cast("decimal(19,0)")).cast("decimal(38,0)") + number
     return lines.select(
-        "doc_id", number.alias("line_no"), (F.col("doc_id") * 10_000_000_000 + number).alias("ordinal"), F.col("source").alias("manuscript"),
+        "doc_id", number.alias("line_no"), ordinal.cast("decimal(38,0)").alias("ordinal"), F.col("source").alias("manuscript"),
         F.concat("source", F.lit("_"), "doc_id").alias("image_id"), F.concat(F.lit("d"), "doc_id", F.lit("_l"), number).alias("line_id"), "text",
     )
 
 
 def json_lines(spark: SparkSession, path: str, schema: str = LINE_SCHEMA) -> DataFrame:
-    """A JSON file that is one array of lines; ``line_id`` defaults to the position."""
-    lines = spark.read.schema(schema).option("multiLine", True).json(path)
-    return lines
+    """A JSON file that is one array of lines, with their ``ordinal`` in it; see ``lines_of_json``."""
+    return lines_of_json(spark.read.text(path, wholetext=True), "value", schema)
+
+
+def lines_of_json(texts: DataFrame, column: str, schema: str = LINE_SCHEMA) -> DataFrame:
+    """The lines in texts that are JSON arrays of them: ordinal (the position) and the fields of ``schema``.
+
+    A missing ``line_id`` is ``line_`` and the position. A text that isn't such an
+    array has no lines; fields that ``schema`` lacks are ignored. Other columns
+    are kept before them.
+    """
+    others = [c for c in texts.columns if c != column]
+    rows = texts.select(*others, F.posexplode(F.from_json(column, f"array<struct<{_as_struct(schema)}>>")).alias("ordinal", "x"))
+    out = rows.where("x IS NOT NULL").select(*others, F.col("ordinal").cast("long"), "x.*")
+    return out.withColumn("line_id", F.coalesce("line_id", F.format_string("line_%04d", "ordinal"))) if "line_id" in out.columns else out
+
+
+def _as_struct(schema: str) -> str:
+    return ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in StructType.fromDDL(schema))
 
 
 def manuscripts(spark: SparkSession, root: str) -> DataFrame:
@@ -98,13 +119,18 @@ def _files(spark: SparkSession, root: str, glob: str) -> DataFrame:
 
 def xml_lines(spark: SparkSession, root: str) -> DataFrame:
     """(manuscript, source_xml, line_no, text) of all layout XML files below ``root``."""
+    return lines_of_xml(_files(spark, root, "*.xml"))
+
+
+def lines_of_xml(files: DataFrame) -> DataFrame:
+    """``xml_lines`` of files (path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(p, i, t) for p, c in zip(pdf.path, pdf.content, strict=True) for i, t in enumerate(page_texts(c))]
             yield pd.DataFrame(rows, columns=["path", "line_no", "text"])
 
-    lines = _files(spark, root, "*.xml").select("path", "content").mapInPandas(run, "path string, line_no long, text string")
+    lines = files.select("path", "content").mapInPandas(run, "path string, line_no long, text string")
     return lines.select(folder_of(F.col("path")).alias("manuscript"), F.element_at(F.split("path", "/"), -1).alias("source_xml"), "line_no", "text")
 
 
@@ -114,13 +140,18 @@ def line_crops(spark: SparkSession, root: str, sizes: DataFrame) -> DataFrame:
     ``sizes`` has (manuscript, stem, width, height) of the images; files without
     an image are left out, as are boxes outside of it.
     """
+    return crops_of_xml(_files(spark, root, "*.xml"), sizes)
+
+
+def crops_of_xml(files: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``line_crops`` of files (path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(p, i, *b) for p, c in zip(pdf.path, pdf.content, strict=True) for i, b in enumerate(page_boxes(c))]
             yield pd.DataFrame(rows, columns=["path", "line_no", "line_id", "text", "x", "y", "w", "h"])
 
-    boxes = _files(spark, root, "*.xml").select("path", "content").mapInPandas(run, "path string, line_no long, line_id string, text string, x long, y long, w long, h long")
+    boxes = files.select("path", "content").mapInPandas(run, "path string, line_no long, line_id string, text string, x long, y long, w long, h long")
     boxes = boxes.withColumns({"manuscript": folder_of(F.col("path")), "stem": stem_of(F.col("path")), "source_xml": F.element_at(F.split("path", "/"), -1)})
     x1, y1 = F.greatest(F.lit(0), "x"), F.greatest(F.lit(0), "y")
     x2, y2 = F.least(F.col("width"), F.col("x") + F.col("w")), F.least(F.col("height"), F.col("y") + F.col("h"))

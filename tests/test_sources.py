@@ -45,8 +45,8 @@ def test_line_crops(spark, corpus):
 def test_document_lines(spark):
     docs = spark.createDataFrame([(3, " ".join(f"w{i}" for i in range(40)) + "\n\n  x  y ", "s"), (4, None, "s"), (5, "", "s")], "doc_id long, text string, source string")
     rows = S.document_lines(docs).orderBy("ordinal").collect()
-    assert [(r.line_no, len(r.text.split())) for r in rows] == [(0, 16), (1, 16), (2, 8), (200_000, 2)]
-    assert rows[-1].text == "x y" and rows[-1].line_id == "d3_l200000" and rows[0].image_id == "s_3"
+    assert [(r.line_no, len(r.text.split())) for r in rows] == [(0, 16), (1, 16), (2, 8), (2 << 31, 2)]
+    assert rows[-1].text == "x y" and rows[-1].line_id == "d3_l4294967296" and rows[0].image_id == "s_3"
 
 
 def test_tables(spark, tmp_path):
@@ -57,8 +57,12 @@ def test_tables(spark, tmp_path):
     assert {r.form for r in S.dictionary(spark, f"{tmp_path}/d.txt").collect()} == {"roi", "le"}
     (tmp_path / "d.json").write_text(json.dumps({"source": "x", "formes": ["Roi", "le"]}))
     assert {r.form for r in S.dictionary(spark, f"{tmp_path}/d.json").collect()} == {"roi", "le"}
-    (tmp_path / "lines.json").write_text(json.dumps([{"line_id": "a", "transcription": "t", "confidence": 0.5, "polygon": [[0, 1]]}, {"line_id": "b"}]))
-    assert [r.line_id for r in S.json_lines(spark, f"{tmp_path}/lines.json").collect()] == ["a", "b"]
+    (tmp_path / "lines.json").write_text(json.dumps([{"line_id": "a", "transcription": "t", "confidence": 0.5, "polygon": [[0, 1]]}, {"line_id": "b"}, {"transcription": "no id"}]))
+    assert [(r.ordinal, r.line_id) for r in S.json_lines(spark, f"{tmp_path}/lines.json").collect()] == [(0, "a"), (1, "b"), (2, "line_0002")]
+    far = spark.createDataFrame([(9_000_000_000_000_000_000, "a\n" * 100_002, "s"), (8_999_999_999_999_999_999, "b", "s"), (-5, "c", "s")], "doc_id long, text string, source string")
+    rows = S.document_lines(far)
+    assert rows.count() == rows.select("ordinal").distinct().count() == 100_004
+    assert [r.text for r in rows.orderBy("ordinal").limit(3).collect()] == ["c", "b", "a"]
 
 
 def test_journal(spark, tmp_path):
@@ -135,7 +139,7 @@ def test_prepare_files(spark, tmp_path):
     assert (r.height, r.width) == (60, 80) and bytes(r.pixels) == image.sauvola(img).tobytes()
     (tmp_path / "b.pgm").write_bytes(b"nothing")
     with pytest.raises(Exception, match="can't decode"):
-        image.prepare_files(spark.read.format("binaryFile").load(f"{tmp_path}/*.pgm"), image.decode_pgm).count()
+        image.prepare_files(spark.read.format("binaryFile").load(f"{tmp_path}/*.pgm"), image.decode_pgm, straighten=False, contrast=False).count()
 
 
 def test_streams(spark, tmp_path):
