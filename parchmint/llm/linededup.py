@@ -11,7 +11,6 @@ from parchmint.llm.common import boxed, dealt_anew, unboxed, written
 
 WINDOW = 3
 BLANKS = " \t\r"
-_LAST = (1 << 63) - 1
 
 
 def _lines(text: Column) -> Column:
@@ -61,13 +60,15 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     places merged. Texts of fewer lines have no run and stay as they are. A null
     text stays null with n_lines 0; a text that loses all lines becomes empty.
     Rows that repeat a doc_id and text are one document and get one result each;
-    rows that share a doc_id only are told apart, and a run at the same line of
-    both counts as one place. A null doc_id comes last. n_chars, if there, is
+    rows that share a doc_id only are told apart, the smaller hash of the text first
+    at one line. A null doc_id comes last. n_chars, if there, is
     counted anew; other columns are kept; columns n_lines and n_removed are
     replaced. No rows in, none out.
     """
     runs = written(windows(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), size))
-    place = (F.coalesce("doc_id", F.lit(_LAST)).cast("decimal(20,0)") * F.lit(Decimal(1 << 31)) + F.col("at")).cast("decimal(38,0)")
+    # A null doc_id is beyond all others; the version tells apart rows of one doc_id.
+    key = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(Decimal(1 << 63)).cast("decimal(20,0)"))
+    place = ((key * F.lit(Decimal(1 << 62)).cast("decimal(19,0)")).cast("decimal(38,0)") + F.col("at").cast("long") * (1 << 31) + F.col("version").bitwiseAND((1 << 31) - 1)).cast("decimal(38,0)")
     runs = runs.withColumn("place", place)
     repeated = runs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")).where("n > 1").select("h1", "h2", "first")
     later = runs.join(dealt_anew(repeated, "first"), ["h1", "h2"]).where("place <> first")

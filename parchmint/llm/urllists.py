@@ -111,7 +111,7 @@ def dated(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     stands for one entry, on another day of them, for its host, the domain above
     it or its first path, to or from one of two lists.
     """
-    x = F.expr("page_id * 2654435761 % 4294967296")
+    x = F.expr("page_id % 2147483648 * 1103515245 % 4294967296")
     div = lambda n: F.floor(x / n)
     host = host_of(F.col("url"))
     start = F.lit("2023-01-01")
@@ -132,7 +132,7 @@ def dated(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 #: Rows of ``filter_captures`` over ``dated(pages)``, for DuckDB.
 URL_LISTS_SQL = r"""
 WITH p AS (
-  SELECT page_id, url, page_id * 2654435761 % 4294967296 AS x,
+  SELECT page_id, url, page_id % 2147483648 * 1103515245 % 4294967296 AS x,
     lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1)) AS host,
     list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '') AS parts
   FROM pages

@@ -52,6 +52,25 @@ def test_stages(spark, tmp_path):
     assert decontam.SHINGLE == 5 and decontam.OVERLAP == 0.8 and linededup.WINDOW == 3
 
 
+def test_odd_inputs(spark, tmp_path, odd, none):
+    """Nulls, repeated rows and ids, a very long text and clashing columns through every stage, and empty tables."""
+    labels = spark.createDataFrame([(1, 1, 0), (5, 0, 0), (None, 1, 0), (6, None, None)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "another text under the same id. another text"), (None, None)], "item_id long, text string")
+    for name, docs, some_labels, some_items in (("odd", odd, labels, items), ("empty", none, labels.limit(0), items.limit(0))):
+        path = f"{tmp_path}/{name}"
+        some_labels.write.parquet(f"{path}/labels.parquet")
+        some_items.write.parquet(f"{path}/benchmark.parquet")
+        for stage_name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, path)
+            assert tuple(out.columns) == corpus_pipeline.COLUMNS
+            left = out.count()
+            # One row of each of the six groups of near-copies; one text is a benchmark item; too few labels reject nothing.
+            want = {"near_dedup": 6, "decontaminate": 9}.get(stage_name, 10)
+            assert left == (want if name == "odd" else 0), stage_name
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, path).collect()
+        assert sum(r.start == 0 for r in pieces) == (10 if name == "odd" else 0)
+
+
 def test_contract(spark):
     import __spark_entry__ as entry
 
