@@ -153,7 +153,9 @@ def _from_lab(lab: np.ndarray) -> np.ndarray:
 
 
 def enhance(image: np.ndarray, clip: float = 2.0, tiles: int = 8) -> np.ndarray:
-    """Local contrast on lightness only; colours stay."""
+    """Local contrast on lightness only; colours stay. A grey image is its own lightness."""
+    if image.ndim == 2:
+        return equalize(image, clip, tiles)
     lab = _to_lab(image)
     light = np.clip(np.rint(lab[..., 0] * 2.55), 0, 255).astype(np.uint8)
     lab[..., 0] = equalize(light, clip, tiles) / 2.55
@@ -164,7 +166,7 @@ def prepare(image: np.ndarray, straighten: bool = True, contrast: bool = True, l
     """Deskew, contrast, binarise, mask colours, each optional.
 
     The local threshold makes ink 255, the global one 0, and masked regions are
-    255 in either: known and kept.
+    255 in either: known and kept. A grey image has no colours to mask.
     """
     if straighten:
         image = deskew(image)
@@ -172,7 +174,7 @@ def prepare(image: np.ndarray, straighten: bool = True, contrast: bool = True, l
         image = enhance(image)
     g = grey(image)
     binary = sauvola(g) if local else np.where(g > otsu(g), 255, 0).astype(np.uint8)
-    return mask_color(image, binary) if mask else binary
+    return mask_color(image, binary) if mask and image.ndim == 3 else binary
 
 
 def prepare_files(files: DataFrame, decode: Callable[[bytes], np.ndarray | None], **stages: bool) -> DataFrame:

@@ -137,9 +137,10 @@ def test_prepare_files(spark, tmp_path):
     files = spark.read.format("binaryFile").load(f"{tmp_path}/*.pgm")
     r = image.prepare_files(files, image.decode_pgm, straighten=False, contrast=False, mask=False).first()
     assert (r.height, r.width) == (60, 80) and bytes(r.pixels) == image.sauvola(img).tobytes()
+    assert image.prepare_files(files, image.decode_pgm).first().height == 60
     (tmp_path / "b.pgm").write_bytes(b"nothing")
     with pytest.raises(Exception, match="can't decode"):
-        image.prepare_files(spark.read.format("binaryFile").load(f"{tmp_path}/*.pgm"), image.decode_pgm, straighten=False, contrast=False).count()
+        image.prepare_files(spark.read.format("binaryFile").load(f"{tmp_path}/*.pgm"), image.decode_pgm).count()
 
 
 def test_streams(spark, tmp_path):
