@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
 #: Partial sums that one task adds up, and that the driver receives at most.
 FAN_IN = 16
+#: Rows of a few numbers that a file of a checkpoint is to hold.
+FILE_ROWS = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,6 +59,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def files_for(spark: SparkSession, rows: int) -> int:
+    """Partitions for checkpointing ``rows`` rows of a few numbers, as many as there are shuffle partitions at most.
+
+    A file costs the same whatever it holds: Hadoop's local file system starts two
+    processes for each, so many small files are far dearer than their rows.
+    """
+    return max(1, min(-(-rows // FILE_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as Parquet in the shared folder, read back.
 
@@ -154,7 +165,7 @@ def keep_rows(df: DataFrame, columns: list[str], keep: Callable[..., list[bool]
     return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", files: int | None = None) -> DataFrame:
     """Connected components of an undirected graph: rows (node, component).
 
     ``edges`` has two long columns. The component is its smallest node; nodes
@@ -162,15 +173,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     and small-star steps of Kiveris et al. (2014): every step is a grouped
     minimum, whose partial sums make hub nodes cheap, and an equi-join that
     adaptive execution can split, so a component may hold any share of the rows.
-    Each round is checkpointed; nothing but one fingerprint of the edge set
-    reaches the driver.
+    Each round is checkpointed, in as many files as its edges need, of which no
+    round has more than the one before; the first in ``files``, if given. Nothing
+    but one fingerprint of the edge set reaches the driver.
     """
+    spark = edges.sparkSession
     e = (
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .where("u <> v")
         .distinct()
     )
-    e, before = _settled(e)
+    e, before = _settled(e.coalesce(files) if files else e)
     while before[0]:
         sym = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -183,7 +196,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .where("u <> v")
             .distinct()
         )
-        e, after = _settled(small)
+        e, after = _settled(small.coalesce(files_for(spark, before[0])))
         if after == before:
             break
         before = after

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import boxed, connected_components, cut_lineage, dealt_anew, small_batches, unboxed
+from parchmint.llm.common import boxed, connected_components, cut_lineage, dealt_anew, files_for, small_batches, unboxed
 
 BUDGET = 3
 SEED = 42
@@ -239,13 +239,15 @@ def near_duplicates(docs: DataFrame, split: int = SPLIT) -> DataFrame:
 
 def _classes(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     fps = cut_lineage(fingerprints(docs))
-    classes = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    links = cut_lineage(link_distinct(classes.select("fp"), split))
+    # What follows has a few rows a fingerprint at most, whatever the number of shuffle partitions.
+    files = files_for(docs.sparkSession, fps.count())
+    classes = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("first")).coalesce(files))
+    links = cut_lineage(link_distinct(classes.select("fp"), split).repartition(files))
     edges = links.where("fp <> root").select(F.col("fp").alias("a"), F.col("root").alias("b"))
-    comp = connected_components(edges)
+    comp = connected_components(edges, files=files)
     degree = links.groupBy("fp").agg(F.sum("links").alias("n_links"))
     named = classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    named = cut_lineage(named)
+    named = cut_lineage(named.repartition(files))
     first = named.groupBy("component").agg(F.min("first").alias("component_id"))
     named = named.join(dealt_anew(first, "component_id", "component"), "component").join(degree, "fp", "left").select("fp", "component", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return fps.join(dealt_anew(named, "component_id", "fp"), "fp")

@@ -1,11 +1,13 @@
 import itertools
 import random
 import re
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import xxhash
 
-from parchmint.llm import simhash
+from parchmint.llm import common, simhash
 
 
 def brute_fingerprint(text):
@@ -96,3 +98,32 @@ def test_query_on_fixture(spark, make, tmp_path):
     fps = [brute_fingerprint(t) for t in texts]
     label, _ = brute_components(fps)
     assert got == {i: (f"{f:016x}", k) for i, (f, k) in enumerate(zip(fps, label, strict=True))}
+
+
+def test_few_files_for_few_rows(spark, make):
+    """Checkpoints have the files that their rows need, however many shuffle partitions there are."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choices(words, k=30)) for _ in range(30)]
+    texts += [t + " w1" for t in texts[:20]] + texts[:10] + [texts[0]] * 20
+    docs = make(list(enumerate(texts))).repartition(3)
+    rounds = [(i, i + 1) for i in range(40)]
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    # The folder is set once a session; what is new in it counts.
+    root = simhash.cut_lineage(spark.range(1)).sparkSession.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    files = lambda: {str(f) for f in Path(root).rglob("part-*")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 37)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        before = files()
+        got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+        made = Counter(str(Path(f).parent) for f in files() - before)
+        assert made and max(made.values()) <= 3
+        stars = common.connected_components(spark.createDataFrame(rounds, "a long, b long"), files=common.files_for(spark, len(rounds)))
+        assert {tuple(r) for r in stars.collect()} == {(i, 0) for i in range(41)}
+        assert max(Counter(str(Path(f).parent) for f in files() - before).values()) <= 3
+        assert [common.files_for(spark, n) for n in (0, 1, common.FILE_ROWS, common.FILE_ROWS + 1, 1 << 40)] == [1, 1, 1, 2, 37]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert got == dict(enumerate(brute_components([brute_fingerprint(t) for t in texts])[0]))
